@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from revloom.llm import contamination, near_duplicates
+from revloom.llm import contamination, handwritten, near_duplicates
 
 QUERIES = {
+    "p1_found": handwritten.p1_found,
+    "p1_reasons": handwritten.p1_reasons,
     "p3_found": near_duplicates.p3_found,
     "p3_groups": near_duplicates.p3_groups,
     "p7_found": contamination.p7_found,
