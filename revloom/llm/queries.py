@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from revloom.llm import contamination, handwritten, near_duplicates
+from revloom.llm import contamination, credentials, handwritten, near_duplicates
 
 QUERIES = {
     "p1_found": handwritten.p1_found,
     "p1_reasons": handwritten.p1_reasons,
+    "p2_found": credentials.p2_found,
+    "p2_masked": credentials.p2_masked,
     "p3_found": near_duplicates.p3_found,
     "p3_groups": near_duplicates.p3_groups,
     "p7_found": contamination.p7_found,
