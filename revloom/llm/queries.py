@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revloom.llm import contamination, credentials, handwritten, near_duplicates
+from revloom.llm import contamination, credentials, handwritten, near_duplicates, truncation
 
 QUERIES = {
     "p1_found": handwritten.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p3_groups": near_duplicates.p3_groups,
     "p7_found": contamination.p7_found,
     "p7_near": contamination.p7_near,
+    "p8_found": truncation.p8_found,
+    "p8_shares": truncation.p8_shares,
 }
 
 ORACLE_SQL = {
