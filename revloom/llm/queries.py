@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revloom.llm import contamination, credentials, handwritten, near_duplicates, truncation
+from revloom.llm import contamination, credentials, handwritten, near_duplicates, packing, truncation
 
 QUERIES = {
     "p1_found": handwritten.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p2_masked": credentials.p2_masked,
     "p3_found": near_duplicates.p3_found,
     "p3_groups": near_duplicates.p3_groups,
+    "p6_packed": packing.p6_packed,
+    "p6_usage": packing.p6_usage,
     "p7_found": contamination.p7_found,
     "p7_near": contamination.p7_near,
     "p8_found": truncation.p8_found,
