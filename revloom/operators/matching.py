@@ -42,11 +42,11 @@ def with_latest_evidence(recipes: DataFrame, episodes: DataFrame) -> DataFrame:
     return recipes.join(found, "recipe_id")
 
 
-def score_matches(hunks: DataFrame, recipes: DataFrame, as_of: Column) -> DataFrame:
+def score_matches(hunks: DataFrame, recipes: DataFrame, as_of: Column, within: tuple[str, ...] = ()) -> DataFrame:
     """Every pair of a hunk and a recipe that fits it, with its score.
 
-    hunks: hunk_pos, path, snippet, start_line, end_line. recipes: with ``latest``. Pairs meet on
-    the recipe's prefixes, which are equal to one of the file's own ancestors, so no cross join is
+    hunks: hunk_pos, path, snippet, start_line, end_line. recipes: with ``latest``. ``within`` names
+    columns both sides must agree on, as the repository. Pairs meet on the recipe's prefixes, which are equal to one of the file's own ancestors, so no cross join is
     made; both sides are normalised once, before they meet. A pair needs some signal, and code
     that already reads like the accepted form is left alone.
     """
@@ -59,7 +59,7 @@ def score_matches(hunks: DataFrame, recipes: DataFrame, as_of: Column) -> DataFr
         .withColumn("after_names", T.name_set(T.normalize_cluster(F.col("after"))))
         .withColumn("scope", F.explode(F.array_distinct(F.transform("path_prefixes", _bare))))
     )
-    met = h.join(r, "scope").dropDuplicates(["hunk_pos", "recipe_id"]).crossJoin(F.broadcast(top))  # the one-row maximum
+    met = h.join(r, [*within, "scope"]).dropDuplicates(["hunk_pos", "recipe_id"]).crossJoin(F.broadcast(top))  # the one-row maximum
     signal = signal_strength(F.col("snippet"), F.col("before_signals"))
     before, after = T.jaccard(F.col("hunk_names"), F.col("before_names")), T.jaccard(F.col("hunk_names"), F.col("after_names"))
     staged = met.withColumn("before_sim", before).withColumn("after_sim", after).withColumn("signal", F.greatest(signal, F.col("before_sim")))

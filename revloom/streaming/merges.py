@@ -23,9 +23,9 @@ def signature_holds(body: bytes, header: str | None, secret: str | None) -> bool
 def merge_events(payload: Column) -> Column:
     """The (repo, number) of a closed and merged pull request in a JSON text; null for all else."""
     e = F.from_json(payload, EVENT)
-    repo = F.coalesce(F.when(F.trim(e["repository.full_name"]) != "", F.trim(e["repository.full_name"])), F.concat(e["repository.owner.login"], F.lit("/"), e["repository.name"]))
-    ok = (e["action"] == "closed") & e["pull_request.merged"] & (e["pull_request.number"] >= 1) & repo.rlike(SLUG)
-    return F.when(ok, F.struct(repo.alias("repo"), e["pull_request.number"].alias("number")))
+    repo = F.coalesce(F.when(F.trim(e["repository"]["full_name"]) != "", F.trim(e["repository"]["full_name"])), F.concat(e["repository"]["owner"]["login"], F.lit("/"), e["repository"]["name"]))
+    ok = (e["action"] == "closed") & e["pull_request"]["merged"] & (e["pull_request"]["number"] >= 1) & repo.rlike(SLUG)
+    return F.when(ok, F.struct(repo.alias("repo"), e["pull_request"]["number"].alias("number")))
 
 
 def statuses(events: DataFrame, payload: str = "body", signed: str | None = None) -> DataFrame:
