@@ -143,12 +143,12 @@ def title_words(body: Column) -> Column:
 def suggestion_block(body: Column) -> Column:
     """The first suggested change in a comment, without one last line break; null for none."""
     pattern = r"(?is)```suggestion[^\n]*\r?\n(.*?)```"
-    return F.when(body.rlike(pattern), F.regexp_replace(F.regexp_extract(body, pattern, 1), r"\r?\n$", ""))
+    return F.when(body.rlike(pattern), F.regexp_replace(F.regexp_extract(body, pattern, 1), r"\r?\n\z", ""))
 
 
 def blob_lines(text: Column) -> Column:
     """The lines of a file: none for an empty text, and no last line behind a final line break."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n$", ""), "\n"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
 
 
 def comment_side(side: Column) -> Column:

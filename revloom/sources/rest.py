@@ -119,6 +119,8 @@ class _Reader(DataSourceReader):
         return [InputPartition(int(n)) for n in self.options.get("numbers", "").split(",") if n.strip()]
 
     def read(self, partition):
+        if partition is None:  # no pull request, no comments
+            return
         o = self.options
         number = partition.value
         if o.get("path"):

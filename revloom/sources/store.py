@@ -48,7 +48,7 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """(sha, text) of the ``<sha>.txt`` files of a folder."""
     if not _has_files(path, ".txt"):
         return spark.createDataFrame([], "sha string, text string")
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.txt$", 1).alias("sha"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.txt$", 1).alias("sha"), F.col("value").alias("text"))
 
 
 def read_blob_index(spark: SparkSession, file: str) -> DataFrame:
