@@ -72,8 +72,9 @@ NOTICE = (
     r"(?:@generated\b|<auto-?generated|\bauto-?generated\b|\bautomatically (?:generated|produced|created)\b|\b(?:code|file|source) (?:is |was )?generated (?:by|from|with)\b"
     r"|\bgenerated by\b[^\n]*\bdo not (?:edit|modify|change)\b|\bdo not (?:edit|modify|change)\b[^\n]*\b(?:generated|by hand|manually)\b|\bmanual (?:changes|edits) will be (?:lost|overwritten)\b)"
 )
-#: A line that is nothing but literal data: four or more numbers, or one long base64 or hex string.
-DATA_LINE = r"(?m)^[+\- ]?[ \t]*(?:(?:-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?)\s*,\s*){3,}-?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?)|[rbu]?[\"'][A-Za-z0-9+/=]{60,}[\"'])\s*[+,;.)\\\]]*[ \t]*$"
+#: A line that is nothing but literal data: numbers with commas between, or one long base64 or hex string.
+NUMBER_LINE = r"^[+\- ]?[ \t]*-?(?:0x|\d)[-0-9a-fA-FxX., \t]{8,}[\])};]*\s*$"
+STRING_LINE = r"^[+\- ]?[ \t]*[rbu]?[\"'][A-Za-z0-9+/=]{60,}[\"']\s*[+,;.)\\\]]*\s*$"
 DATA_LINES = 4
 MINIFIED_LINE = 400
 #: Winnowing: tokens per k-gram, k-grams per window.
@@ -121,9 +122,21 @@ def repo_globs(config: DataFrame) -> DataFrame:
     )
 
 
+def is_data_line(line: Column) -> Column:
+    return line.rlike(STRING_LINE) | (line.rlike(NUMBER_LINE) & (F.size(F.split(line, ",")) >= 4))
+
+
+def is_minified_line(line: Column) -> Column:
+    n = F.length(line)
+    return (n >= MINIFIED_LINE) & (F.length(F.regexp_replace(line, r"[\s\w]", "")) > 0.12 * n) & (F.length(F.regexp_replace(line, r"\s", "")) > 0.9 * n)
+
+
 def code_shows_it(code: Column) -> Column:
-    minified = F.exists(F.split(code, "\n"), lambda line: (F.length(line) >= MINIFIED_LINE) & (F.length(F.regexp_replace(line, r"[\s\w]", "")) > 0.12 * F.length(line)) & (F.length(F.regexp_replace(line, r"\s", "")) > 0.9 * F.length(line)))
-    return F.coalesce(code.rlike(NOTICE) | minified | (F.regexp_count(code, F.lit(DATA_LINE)) >= DATA_LINES), F.lit(False))
+    """Whether code bears a generator's notice, a minified line or a block of literal data."""
+    lines = F.split(code, "\n")
+    # The body of a key or certificate is no data blob.
+    blob = (F.size(F.filter(lines, is_data_line)) >= DATA_LINES) & ~code.contains("-----BEGIN ")
+    return F.coalesce(code.rlike(NOTICE) | F.exists(lines, is_minified_line) | blob, F.lit(False))
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
@@ -195,7 +208,7 @@ def vendored_files(rows: DataFrame, owners: int = OWNERS, share: float = SHARE,
 
 def set_aside(rows: DataFrame, config: DataFrame) -> DataFrame:
     """(src_table, src_key, reason) of the rows of ``rows`` (src_table, src_key, repo, path, code) to leave aside."""
-    rows = rows.filter("src_key is not null")
+    rows = rows.select("src_table", "src_key", "repo", "path", "code").filter("src_key is not null")
     globbed = rows.join(repo_globs(config), "repo", "left")
     reason = (
         F.when(path_is_conventional(F.col("path")), "path")
