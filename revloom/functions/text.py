@@ -33,7 +33,8 @@ LANGUAGES = {
     "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml",
 }
 
-STRINGS = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"
+#: String literals; the loops run over whole stretches between escapes, so long literals need no deep stack.
+STRINGS = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 NUMBERS = _LEFT + r"\d+(?:\.\d+)?" + _RIGHT
 #: Short lower-case names that are no keyword of three letters or fewer.
 LOCALS = _LEFT + r"(?!(?:for|if|in|let|new|try|var)" + _RIGHT + r")[a-z_][a-z0-9_]{0,2}" + _RIGHT

@@ -89,6 +89,7 @@ def winners(rows: DataFrame) -> DataFrame:
 
 def surplus(rows: DataFrame) -> DataFrame:
     """(row_key) of every row that is not the one kept copy of its message."""
+    rows = rows.select("message_key", "rank_at", "row_key", "bucket")
     return rows.join(winners(rows), "message_key").filter(F.col("row_key") != F.col("keep_key")).select("row_key").distinct()
 
 

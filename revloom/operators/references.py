@@ -45,7 +45,7 @@ def broken_references(refs: DataFrame, deltas: DataFrame) -> DataFrame:
     """The rows of ``refs`` (src_table, src_key, ref_field, key, at) whose key has existence count zero at ``at``."""
     by = ["ref_field", "key", "day"]
     day = F.floor(F.col("at") / F.lit(DAY_US)).cast("bigint")
-    refs = refs.withColumn("at", F.coalesce("at", F.lit(BEFORE_ALL))).withColumn("day", day)
+    refs = refs.select("src_table", "src_key", "ref_field", "key", "at").withColumn("at", F.coalesce("at", F.lit(BEFORE_ALL))).withColumn("day", day)
     deltas = deltas.groupBy("ref_field", "key", "at").agg(F.sum("delta").alias("delta")).withColumn("day", day)
     counts = (
         deltas.select(*by, "delta", F.lit(1).alias("changes"), F.lit(0).alias("refs"))
