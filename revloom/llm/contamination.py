@@ -191,7 +191,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 8, least: i
     names = spark.createDataFrame(pa.table({"k": pa.array(range(len(ids)), pa.int32()), "item_id": pa.array(ids, pa.int64())}))
     band = F.floor(F.col("shift") / F.lit(slop))
     return (
-        aligned.select("doc_id", "k", "place", F.explode(F.array(band, band - 1)).alias("band"))
+        aligned.filter(F.col("terms").isNotNull())  # rarest terms only
+        .select("doc_id", "k", "place", F.explode(F.array(band, band - 1)).alias("band"))
         .groupBy("doc_id", "k", "band")
         .agg(F.count_distinct("place").alias("near_terms"))
         .groupBy("doc_id", "k")
