@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from revloom import config as C
 from revloom.errors import InvalidInput, NoData
 from revloom.operators.ordering import with_positions
+from revloom.operators.validation import validate_medium
 from revloom.plans import compile as compiling, ingest as ingesting, link as linking, retrieve
 from revloom.sources.rest import ForgePages
 from revloom.sources.store import Store, catalog
@@ -56,8 +57,11 @@ class Engine:
             store.set_cursors(ingest_at=last.merged_at.strftime("%Y-%m-%dT%H:%M:%SZ"), ingest_number=last.number)
         return {k: v or 0 for k, v in counts.items()}
 
-    def link(self, slug: str) -> dict:
-        """Link all stored comments; tables written by ``ingest`` are used where there are no raw files."""
+    def link(self, slug: str, scorer=None) -> dict:
+        """Link all stored comments; tables written by ``ingest`` are used before raw files.
+
+        ``scorer`` judges links of medium confidence, as ``operators.validation`` says.
+        """
         store = self.store(slug)
         prs, comments, blobs, index = store.raw()
         if store.exists("prs"):
@@ -65,6 +69,8 @@ class Engine:
         if comments.isEmpty():
             raise NoData(f"{slug} has no comments")
         episodes, discards = linking.link_comments(comments, prs, index, blobs)
+        if scorer is not None:
+            episodes = validate_medium(episodes, scorer)
         store.write("episodes", with_positions(episodes.withColumn("__c", F.expr("comment_id collate UNICODE")), ["pr_number", "__c", "comment_id"]).drop("__c"))
         store.write("discards", discards)
         store.set_cursors(link_at=self.now().isoformat())
@@ -77,11 +83,14 @@ class Engine:
         settings = C.resolve(C.RepoConfig(owner, name))
         at = self.now()
         episodes = store.read("episodes")
-        recipes = compiling.compile_recipes(episodes, min_support or settings.min_support, settings.allow_single_high_confidence if allow_single_high is None else allow_single_high, at, suppressed=store.suppressions())
+        least = min_support or settings.min_support
+        members = compiling.cluster_members(episodes)
+        recipes = compiling.recipes_of(members, least, settings.allow_single_high_confidence if allow_single_high is None else allow_single_high, at, store.suppressions())
         store.write("recipes", recipes)
+        store.write("compile_meta", compiling.compile_meta(episodes, members, least))
         run = store.read("recipes").agg(F.count("*").alias("recipes"), F.max("compile_run_id").alias("run")).first()
         store.set_cursors(compile_at=at.isoformat(), compile_run_id=run.run)
-        return {"recipes": run.recipes, **compiling.drop_histogram(episodes).first().asDict()}
+        return {"recipes": run.recipes, **store.read("compile_meta").first().asDict()}
 
     def recipes(self, slug: str, include_suppressed: bool = False) -> DataFrame:
         store = self.store(slug)

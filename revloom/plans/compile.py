@@ -42,24 +42,35 @@ def title_keywords(members: DataFrame, most: int = 5) -> DataFrame:
     return ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("keywords"))
 
 
-def compile_recipes(
-    episodes: DataFrame,
-    min_support: int = 2,
-    allow_single_high: bool = False,
-    as_of: datetime | None = None,
-    threshold: float = THRESHOLD,
-    suppressed: DataFrame | None = None,
-) -> DataFrame:
+def cluster_members(episodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The eligible ones of ``episodes`` with their cluster (bucket, leader); written once for all that reads it."""
+    items = materialize(with_forms(eligible(episodes)), "compile-items")
+    return materialize(clusters(items.select("bucket", "pos", "form"), threshold).join(items.drop("form"), ["bucket", "pos"]), "compile-members")
+
+
+def compile_meta(episodes: DataFrame, members: DataFrame, min_support: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """One row about a run: its settings, how many episodes and clusters there were, and why others dropped out."""
+    sizes = members.groupBy("bucket", "leader").agg(F.count("*").alias("n"))
+    counts = sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("eligible_episodes"), F.coalesce(F.sum((F.col("n") < min_support).cast("bigint")), F.lit(0)).alias("below_min_support"))
+    total = episodes.agg(F.count("*").alias("episodes"))
+    # Rows of one line each.
+    return drop_histogram(episodes).crossJoin(counts).crossJoin(total).withColumns({"min_support": F.lit(min_support), "similarity_threshold": F.lit(threshold)})
+
+
+def compile_recipes(episodes: DataFrame, min_support: int = 2, allow_single_high: bool = False, as_of: datetime | None = None, threshold: float = THRESHOLD, suppressed: DataFrame | None = None) -> DataFrame:
     """The recipes of linked ``episodes``, one row per cluster with enough support.
 
     ``episodes`` has the columns of the episode table and ``pos``, the order of episodes. Rows
     repeated in full are one episode. ``suppressed`` (recipe_id) marks recipes; ``as_of`` is the
     time of the run.
     """
+    return recipes_of(cluster_members(episodes, threshold), min_support, allow_single_high, as_of, suppressed)
+
+
+def recipes_of(members: DataFrame, min_support: int = 2, allow_single_high: bool = False, as_of: datetime | None = None, suppressed: DataFrame | None = None) -> DataFrame:
+    """The recipes of clustered episodes."""
     as_of = as_of or datetime(2025, 1, 1)
     by = ["bucket", "leader"]
-    items = materialize(with_forms(eligible(episodes)), "compile-items")
-    members = materialize(clusters(items.select("bucket", "pos", "form"), threshold).join(items.drop("form"), ["bucket", "pos"]), "compile-members")
     score = T.confidence_score(F.col("link_confidence"))
     segments = F.split("path", "/")
     first = lambda c: F.struct("pos", F.col(c).alias("v"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revloom.operators import clustering
 from revloom.operators.ordering import with_positions
+from revloom.operators.validation import answer_of, validate_medium
 from revloom.plans import compile as compiling, retrieve
 from revloom.errors import InvalidDiff, NotFound
 
@@ -90,6 +91,8 @@ def test_compile(spark, episodes):
     single = compiling.compile_recipes(episodes, allow_single_high=True)
     assert sorted(x.support for x in single.collect()) == [1, 2]
     assert compiling.drop_histogram(episodes).first().asDict() == {"no_accepted": 1, "low_confidence": 1, "none_confidence": 1}
+    meta = compiling.compile_meta(episodes, compiling.cluster_members(episodes)).first()
+    assert (meta.episodes, meta.eligible_episodes, meta.clusters, meta.below_min_support, meta.min_support) == (6, 3, 2, 1, 2)
     assert compiling.compile_recipes(episodes.limit(0)).count() == 0
     # The order of rows does not matter, only their positions.
     assert compiling.compile_recipes(episodes.orderBy(F.desc("id"))).first().recipe_id == r.recipe_id
@@ -150,3 +153,17 @@ def test_positions(spark):
     df = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)], "a int, b string").repartition(7)
     got = with_positions(df, ["a"]).orderBy("a").collect()
     assert [r.pos for r in got] == list(range(1000))
+
+
+def test_second_opinion(spark, episodes):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(comment, rejected, accepted):
+        calls.add(1)
+        return 'sure: {"addresses": true}' if "client" in accepted else None
+
+    got = {r.id: (r.link_confidence, r.link_reason) for r in validate_medium(episodes, scorer).collect()}
+    assert got["e2"] == ("high", "+validated") and got["e4"] == ("medium", "") and len(got) == 6 and calls.value == 1
+    assert {r.id: r.link_confidence for r in validate_medium(episodes, lambda *a: False).collect()}["e2"] == "low"
+    assert {r.id: r.link_confidence for r in validate_medium(episodes, lambda *a: 1 / 0).collect()}["e2"] == "medium"
+    assert [answer_of(x) for x in ('{"addresses": false}', "none", "{bad}", '{"addresses": 1}', None)] == [False, None, None, None, None]

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from revloom import config as C
+from revloom import config as C, session
 from revloom.__main__ import parser, run
 from revloom.api import Engine
 from revloom.errors import AccessFailed, Forbidden, InvalidInput, NoData
@@ -156,3 +156,10 @@ def test_merge_events(spark, tmp_path):
     assert [(r.repo, r.stage) for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [("a/z", "link")]
     merges.run_merges(stream(), str(tmp_path / "mark"), stages, str(tmp_path / "dead"))
     assert len(calls) == 5
+
+
+def test_scratch_tables_can_be_released(spark):
+    kept = session.materialize(spark.range(5), "x")
+    assert kept.count() == 5
+    session.release(spark)
+    assert not os.path.exists(kept.inputFiles()[0].removeprefix("file://"))
