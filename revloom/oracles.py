@@ -130,6 +130,12 @@ rid AS (SELECT *, 'rcp_' || substr(sha256(repo || chr(0) || array_to_string(list
   list_slice(lo, 1, len(list_filter(range(1, least(len(lo), len(hi))), lambda i : list_slice(lo, 1, i) = list_slice(hi, 1, i)))) AS shared FROM rec)"""
 
 
+_MEDOID = f"""{_RECIPE}, sy AS (SELECT bucket, a, b, s FROM sim UNION ALL SELECT bucket, b, a, s FROM sim),
+cen AS (SELECT x.bucket, x.leader, x.id, x.k, round(sum(sy.s), 9) AS mean FROM led x JOIN led y ON x.bucket = y.bucket AND x.leader = y.leader AND x.k <> y.k JOIN sy ON sy.bucket = x.bucket AND sy.a = x.k AND sy.b = y.k GROUP BY ALL),
+mid AS (SELECT * FROM cen QUALIFY row_number() OVER (PARTITION BY bucket, leader ORDER BY mean DESC, k) = 1),
+rt AS (SELECT rid.*, ep.rejected.text AS raw_before, {redact("ep.rejected.text")} AS before, {redact("ep.accepted.text")} AS after FROM rid JOIN mid ON mid.bucket = rid.bucket AND mid.leader = rid.leader JOIN ep ON ep.id = mid.id)"""
+
+
 def ordered_distinct(c: str) -> str:
     return f"array_to_string(list_filter(list_transform(range(1, len({c}) + 1), lambda i : CASE WHEN list_position({c}, {c}[i]) = i THEN {c}[i] END), lambda v : v IS NOT NULL), ',')"
 
@@ -186,6 +192,25 @@ SQL = {
     "payload_budget": "SELECT doc_id, source, so_far FROM (SELECT doc_id, source, (sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) + 1)::BIGINT AS so_far FROM documents) WHERE so_far <= 32768",
     "evidence": f"""{_RECIPE}, n AS (SELECT recipe_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS place FROM rid)
       SELECT recipe_id, n.id AS episode_id, place::INTEGER AS place, pr_number, 'https://github.com/' || repo || '/pull/' || pr_number || '#discussion_' || comment_id AS comment_url FROM n JOIN ep ON ep.id = n.id""",
+    "patches": f"""{_MEDOID} SELECT recipe_id, '--- a/a/b.ts' || chr(10) || '+++ b/a/b.ts' || chr(10) || '@@ -7,' || len(string_split(before, chr(10))) || ' +7,' || len(string_split(after, chr(10))) || ' @@' || chr(10)
+      || array_to_string(list_transform(string_split(before, chr(10)), lambda x : '-' || x), chr(10)) || chr(10) || array_to_string(list_transform(string_split(after, chr(10)), lambda x : '+' || x), chr(10)) AS patch FROM rt""",
+    "suggest_topk": f"""{_MEDOID},
+      sg AS (SELECT recipe_id, list_concat(list_filter(list_transform(string_split(raw_before, chr(10)), lambda x : {trim("x")}), lambda x : length(x) >= 4 AND regexp_matches(x, '[A-Za-z0-9]')),
+        list_filter(regexp_extract_all(raw_before, '[A-Za-z_][A-Za-z0-9_.]*'), lambda x : length(x) >= 4 AND NOT regexp_full_match(x, '_+'))) AS w FROM rt),
+      sx AS (SELECT recipe_id, s, min(i) AS i FROM (SELECT recipe_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM sg) GROUP BY 1, 2),
+      sl AS (SELECT recipe_id, list(lower(s)) AS sig FROM (SELECT * FROM sx QUALIFY row_number() OVER (PARTITION BY recipe_id ORDER BY i) <= 12) GROUP BY 1),
+      la AS (SELECT recipe_id, max(ep.merged_at) AS latest FROM (SELECT recipe_id, unnest(ids) AS id FROM rid) x JOIN ep ON ep.id = x.id GROUP BY 1),
+      rr AS (SELECT rt.recipe_id, repo, support, conf, {_PREFIX} AS pre, rtrim({_PREFIX}, '/') AS base, coalesce(sig, []) AS sig, latest, {names(cluster_form("before"))} AS bn, {names(cluster_form("after"))} AS an, max(support) OVER () AS top FROM rt LEFT JOIN sl ON sl.recipe_id = rt.recipe_id JOIN la ON la.recipe_id = rt.recipe_id),
+      hh AS (SELECT delivery_id AS hunk_pos, repo, path, array_to_string(list_transform(list_filter(list_slice(string_split(diff_hunk, chr(10)), 2, 1000000), lambda x : starts_with(x, '+') OR starts_with(x, ' ')), lambda x : substr(x, 2)), chr(10)) AS snippet
+        FROM pull_review_comments WHERE diff_hunk LIKE '@@ %' AND path IS NOT NULL),
+      mt AS (SELECT rr.*, hunk_pos, path, snippet FROM hh JOIN rr ON hh.repo = rr.repo AND (path = base OR starts_with(path, base || '/'))),
+      nm AS (SELECT *, {names(cluster_form("snippet"))} AS hn FROM mt),
+      jj AS (SELECT *, CASE WHEN len(hn) = 0 AND len(bn) = 0 THEN 1.0 WHEN len(hn) = 0 OR len(bn) = 0 THEN 0.0 ELSE len(list_intersect(hn, bn))::DOUBLE / (len(hn) + len(bn) - len(list_intersect(hn, bn))) END AS bs,
+        CASE WHEN len(hn) = 0 AND len(an) = 0 THEN 1.0 WHEN len(hn) = 0 OR len(an) = 0 THEN 0.0 ELSE len(list_intersect(hn, an))::DOUBLE / (len(hn) + len(an) - len(list_intersect(hn, an))) END AS av,
+        CASE WHEN len(sig) = 0 THEN 0.0 ELSE len(list_filter(sig, lambda x : contains(lower(snippet), x)))::DOUBLE / len(sig) END AS ss FROM nm),
+      sc AS (SELECT recipe_id, hunk_pos, greatest(ss, bs) AS signal, 0.35::DOUBLE * (support::DOUBLE / greatest(1, top)) + 0.25::DOUBLE * conf + 0.2::DOUBLE * least(1.0::DOUBLE, len(list_filter(string_split(pre, '/'), lambda x : x <> '')) / 4.0::DOUBLE)
+        + 0.1::DOUBLE * greatest(0.0::DOUBLE, 1 - (epoch_us(TIMESTAMPTZ '2025-06-01 00:00:00+00') - epoch_us(latest)) / 1e6::DOUBLE / 31536000.0::DOUBLE) + 0.1::DOUBLE * greatest(ss, bs) AS score FROM jj WHERE greatest(ss, bs) >= 0.15 AND NOT (av >= 0.85 AND av > bs))
+      SELECT recipe_id, hunk_pos, round(score, 6) AS score, round(signal, 6) AS signal FROM sc QUALIFY row_number() OVER (PARTITION BY recipe_id ORDER BY score DESC, hunk_pos) = 1""",
     "link_join": f"WITH {_EP}, p AS (SELECT repo, pr_number, arg_max(merge_commit_sha, id) AS merge_commit_sha FROM pull_requests GROUP BY 1, 2) SELECT ep.id, ep.pr_number, p.merge_commit_sha FROM ep LEFT JOIN p ON p.repo = ep.repo AND p.pr_number = ep.pr_number",
     "missing_parent": f"WITH {_EP} SELECT id, repo FROM ep WHERE NOT EXISTS (SELECT 1 FROM pull_requests p WHERE p.repo = ep.repo AND p.pr_number = ep.pr_number)",
     "first_hit_lookup": f"""SELECT repo, commit_ref, path, sha FROM (SELECT repo, {trim('commit_ref')} AS commit_ref, {trim('path')} AS path, lower({trim('sha')}) AS sha, entry_id FROM blob_index)
