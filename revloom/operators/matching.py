@@ -59,7 +59,7 @@ def score_matches(hunks: DataFrame, recipes: DataFrame, as_of: Column, within: t
         .withColumn("after_names", T.name_set(T.normalize_cluster(F.col("after"))))
         .withColumn("scope", F.explode(F.array_distinct(F.transform("path_prefixes", _bare))))
     )
-    met = h.join(r, [*within, "scope"]).dropDuplicates(["hunk_pos", "recipe_id"]).crossJoin(F.broadcast(top))  # the one-row maximum
+    met = h.join(r, [*within, "scope"]).dropDuplicates(["hunk_pos", "recipe_id"]).withColumn("max_support", top.scalar())
     signal = signal_strength(F.col("snippet"), F.col("before_signals"))
     before, after = T.jaccard(F.col("hunk_names"), F.col("before_names")), T.jaccard(F.col("hunk_names"), F.col("after_names"))
     staged = met.withColumn("before_sim", before).withColumn("after_sim", after).withColumn("signal", F.greatest(signal, F.col("before_sim")))

@@ -51,10 +51,17 @@ def cluster_members(episodes: DataFrame, threshold: float = THRESHOLD) -> DataFr
 def compile_meta(episodes: DataFrame, members: DataFrame, min_support: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """One row about a run: its settings, how many episodes and clusters there were, and why others dropped out."""
     sizes = members.groupBy("bucket", "leader").agg(F.count("*").alias("n"))
-    counts = sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("eligible_episodes"), F.coalesce(F.sum((F.col("n") < min_support).cast("bigint")), F.lit(0)).alias("below_min_support"))
-    total = episodes.agg(F.count("*").alias("episodes"))
-    # Rows of one line each.
-    return drop_histogram(episodes).crossJoin(counts).crossJoin(total).withColumns({"min_support": F.lit(min_support), "similarity_threshold": F.lit(threshold)})
+    below = F.coalesce(F.sum((F.col("n") < min_support).cast("bigint")), F.lit(0))
+    return drop_histogram(episodes).withColumns(
+        {
+            "episodes": episodes.agg(F.count("*")).scalar(),
+            "eligible_episodes": members.agg(F.count("*")).scalar(),
+            "clusters": sizes.agg(F.count("*")).scalar(),
+            "below_min_support": sizes.agg(below).scalar(),
+            "min_support": F.lit(min_support),
+            "similarity_threshold": F.lit(threshold),
+        }
+    )
 
 
 def compile_recipes(episodes: DataFrame, min_support: int = 2, allow_single_high: bool = False, as_of: datetime | None = None, threshold: float = THRESHOLD, suppressed: DataFrame | None = None) -> DataFrame:

@@ -106,7 +106,7 @@ def list_recipes(recipes: DataFrame, path: str | None = None, language: str | No
     matched = recipes.filter(fits_path(F.col("path_prefixes"), path) & fits_language(F.col("languages"), language) & fits_words(words))
     total = matched.agg(F.count("*").alias("total_matched"))
     shown = within_budget(cards(matched.orderBy(*order).limit(limit or LIMIT)), order)
-    counted = shown.crossJoin(F.broadcast(total)).withColumn("n", F.count("*").over(W.partitionBy()))  # one row; at most ``limit`` rows
+    counted = shown.withColumn("total_matched", total.scalar()).withColumn("n", F.count("*").over(W.partitionBy()))  # at most ``limit`` rows
     return counted.withColumn("truncated", F.col("n") < F.col("total_matched")).drop("n", "recipe_order")
 
 
