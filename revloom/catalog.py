@@ -326,9 +326,13 @@ def merge_events(spark, sf):
 def merge_events_stream(spark, sf):
     """Counts of purchase events, gathered by a file stream that ends when all is read."""
     out, mark = (tempfile.mkdtemp(prefix=f"revloom-{x}-", dir=_scratch(spark)) for x in ("out", "mark"))
-    stream = spark.readStream.schema(_t(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    reader = spark.readStream.schema(_t(spark, sf, "events").schema)
+    # A stream reads folders; where the table is a single file it is picked out of the folder around it.
+    folder = events.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(events).isDirectory()
+    stream = reader.parquet(f"{sf}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf)
     stream.filter("event_type = 'purchase'").writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"file://{out}/batch={i}")).option("checkpointLocation", f"file://{mark}").trigger(availableNow=True).start().awaitTermination()
-    return merges.event_counts(spark.read.parquet(f"file://{out}"))
+    return merges.event_counts(spark.read.schema(_t(spark, sf, "events").schema).parquet(f"file://{out}"))
 
 
 def _scratch(spark) -> str | None:

@@ -19,7 +19,8 @@ def eligible(episodes: DataFrame) -> DataFrame:
 
 
 def with_forms(episodes: DataFrame) -> DataFrame:
-    """Episodes with ``form``, the normal forms of both sides, and ``bucket``."""
+    """Episodes with ``form``, the normal forms of both sides, and ``bucket``; only the columns that compiling reads."""
+    episodes = episodes.select("pos", "id", "repo", "path", "file_language", "comment_body", "rejected", "accepted", "link_confidence", "reviewer")
     rejected, accepted = (T.normalize_cluster(F.coalesce(F.col(f"{c}.text"), F.lit(""))) for c in ("rejected", "accepted"))
     return episodes.withColumn("form", F.concat_ws("\n", rejected, accepted)).withColumn("bucket", F.concat_ws("\x00", F.col("repo"), bucket_of(F.col("file_language"), F.col("path"))))
 

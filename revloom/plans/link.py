@@ -34,6 +34,7 @@ def link_comments(comments: DataFrame, prs: DataFrame, index: DataFrame, blobs:
     Comments that ask for nothing are discarded before any blob is looked up, then those without a
     pull request, then those without rejected code.
     """
+    comments = comments.select("repo", "id", "pr_number", "path", "body", "author", "diff_hunk", "line", "original_line", "side", "commit_id")
     told = comments.withColumn("discard_reason", discard_reason(F.col("body"), F.col("author"), extra_bots=extra_bots))
     merged = prs.groupBy("repo", F.col("number").alias("pr_number")).agg(F.max_by(F.struct("merged_at", "merge_commit_sha"), "id").alias("pr"))
     told = materialize(told.join(merged, ["repo", "pr_number"], "left"), "told")
