@@ -192,6 +192,13 @@ SQL = {
     "payload_budget": "SELECT doc_id, source, so_far FROM (SELECT doc_id, source, (sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) + 1)::BIGINT AS so_far FROM documents) WHERE so_far <= 32768",
     "evidence": f"""{_RECIPE}, n AS (SELECT recipe_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS place FROM rid)
       SELECT recipe_id, n.id AS episode_id, place::INTEGER AS place, pr_number, 'https://github.com/' || repo || '/pull/' || pr_number || '#discussion_' || comment_id AS comment_url FROM n JOIN ep ON ep.id = n.id""",
+    "recipe_texts": f"""{_MEDOID},
+      kc AS (SELECT bucket, leader, w, count(*) AS n FROM (SELECT bucket, leader, unnest({_TITLE % 'comment_body'}) AS w FROM led) GROUP BY 1, 2, 3),
+      kw AS (SELECT bucket, leader, list(w ORDER BY r) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY bucket, leader ORDER BY n DESC, translate(w, '_-', chr(1) || chr(2))) AS r FROM kc) WHERE r <= 5 GROUP BY 1, 2),
+      tx AS (SELECT rt.*, coalesce(kw, []) AS kw, CASE WHEN rtrim({_PREFIX}, '/') = '' THEN 'repo' ELSE rtrim({_PREFIX}, '/') END AS hint FROM rt LEFT JOIN kw ON kw.bucket = rt.bucket AND kw.leader = rt.leader)
+      SELECT recipe_id, CASE WHEN len(kw) > 0 THEN upper(substr(kw[1], 1, 1)) || substr(kw[1], 2) || ': ' || hint || ' rewrite (' || support || ' reviews)' ELSE 'Review rewrite in ' || hint || ' (' || support || ' reviews)' END AS title,
+        'Past reviewers flagged ' || CASE WHEN len(kw) > 0 THEN array_to_string(list_slice(kw, 1, 3), ', ') ELSE 'historical review pattern' END || ' in ' || hint || '; accepted fixes clustered from ' || support || ' linked episode(s).' AS rationale,
+        before, after, 'compile_' || substr(sha256(repo || chr(0) || '2025-06-01T00:00:00.000Z'), 1, 12) AS compile_run_id, '2025-06-01T00:00:00.000Z' AS created_at, false AS suppressed FROM tx""",
     "patches": f"""{_MEDOID} SELECT recipe_id, '--- a/a/b.ts' || chr(10) || '+++ b/a/b.ts' || chr(10) || '@@ -7,' || len(string_split(before, chr(10))) || ' +7,' || len(string_split(after, chr(10))) || ' @@' || chr(10)
       || array_to_string(list_transform(string_split(before, chr(10)), lambda x : '-' || x), chr(10)) || chr(10) || array_to_string(list_transform(string_split(after, chr(10)), lambda x : '+' || x), chr(10)) AS patch FROM rt""",
     "suggest_topk": f"""{_MEDOID},
@@ -227,6 +234,8 @@ SQL = {
     "pull_projection": "SELECT id, pr_number AS \"number\", merge_commit_sha, base_ref, head_ref, title, url FROM pull_requests WHERE deleted_at IS NULL AND trim(merge_commit_sha) <> '' AND merged_at >= TIMESTAMPTZ '2024-01-01 00:00:01+00'",
     "comment_projection": f"""SELECT CASE WHEN trim(node_id) <> '' THEN node_id ELSE CAST(id AS VARCHAR) END AS id, try_cast(regexp_extract(pull_request_url, '/pulls/(\\d+)$', 1) AS INTEGER) AS pr_number, path,
       CASE WHEN trim(gh_user.login) <> '' THEN gh_user.login ELSE 'ghost' END AS author, md5({redact('body')}) AS body, line FROM pull_review_comments""",
+    "blob_texts": f"""WITH d AS (SELECT sha, path, CASE WHEN encoding = 'base64' THEN decode(from_base64(regexp_replace(content, '\\s+', '', 'g'))) WHEN encoding = 'utf-8' THEN content END AS t FROM contents WHERE entry_type = 'file' AND content IS NOT NULL)
+      SELECT sha, length(arg_min({redact('t')}, path))::INTEGER AS n FROM d WHERE t IS NOT NULL GROUP BY sha""",
     "repo_catalog": "SELECT DISTINCT string_split(repo, '/')[1] AS owner, string_split(repo, '/')[2] AS name FROM pull_review_comments WHERE repo IS NOT NULL",
     "freshness": f"""{_RECIPE}, c AS (SELECT repo, max(received_at) AS i FROM review_comments GROUP BY 1), l AS (SELECT repo, max(linked_at) AS l FROM ep GROUP BY 1), k AS (SELECT repo, max(received_at) AS k FROM pull_requests GROUP BY 1),
       e AS (SELECT repo, count(*) AS n FROM ep GROUP BY 1), r AS (SELECT repo, count(*) AS n FROM rid GROUP BY 1),
