@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -13,7 +11,7 @@ from revloom.operators import clustering, matching
 from revloom.operators.linking import line_hunks
 from revloom.operators.ordering import with_positions
 from revloom.plans import compile as compiling, ingest, link, retrieve
-from revloom.session import materialize, table
+from revloom.session import materialize, scratch_path, table
 from revloom.streaming import merges
 
 AS_OF = datetime(2025, 6, 1)
@@ -325,22 +323,14 @@ def merge_events(spark, sf):
 
 def merge_events_stream(spark, sf):
     """Counts of purchase events, gathered by a file stream that ends when all is read."""
-    out, mark = (tempfile.mkdtemp(prefix=f"revloom-{x}-", dir=_scratch(spark)) for x in ("out", "mark"))
+    out, mark = (scratch_path(spark, x) for x in ("stream-out", "stream-mark"))
     events = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
     reader = spark.readStream.schema(_t(spark, sf, "events").schema)
     # A stream reads folders; where the table is a single file it is picked out of the folder around it.
     folder = events.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(events).isDirectory()
     stream = reader.parquet(f"{sf}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf)
-    stream.filter("event_type = 'purchase'").writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"file://{out}/batch={i}")).option("checkpointLocation", f"file://{mark}").trigger(availableNow=True).start().awaitTermination()
-    return merges.event_counts(spark.read.schema(_t(spark, sf, "events").schema).parquet(f"file://{out}"))
-
-
-def _scratch(spark) -> str | None:
-    from revloom.session import shared_dir
-
-    path = shared_dir(spark).removeprefix("file:").replace("///", "/").replace("//", "/")
-    os.makedirs(path, exist_ok=True)
-    return path
+    stream.filter("event_type = 'purchase'").writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return merges.event_counts(spark.read.schema(_t(spark, sf, "events").schema).parquet(out))
 
 
 _NAMES = [

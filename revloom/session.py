@@ -45,6 +45,11 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/revloom/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def release(spark: SparkSession) -> None:
     """Remove all tables ``materialize`` wrote in this application; results that read them must be done."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
@@ -59,7 +64,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     row format of ``checkpoint()``.
     """
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
