@@ -19,13 +19,20 @@ QUERIES = {
     "p8_shares": truncation.p8_shares,
 }
 
+_PAIRS = r"""e AS (
+  SELECT DISTINCT id, coalesce(rejected.normalized, '') || chr(10) || coalesce(accepted.normalized, '') || chr(10) || coalesce(comment_body, '') AS t FROM episodes WHERE id IS NOT NULL),
+tok AS (SELECT DISTINCT id, t, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS w FROM e),
+n AS (SELECT id, t, count(*) AS n FROM tok GROUP BY 1, 2),
+i AS (SELECT a.id AS x, a.t AS tx, b.id AS y, b.t AS ty, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND a.id < b.id GROUP BY ALL),
+pr AS (SELECT x AS id_a, y AS id_b, tx, ty FROM i JOIN n p ON p.id = x AND p.t = tx JOIN n q ON q.id = y AND q.t = ty WHERE 10 * c >= 7 * (p.n + q.n - c))"""
+
 ORACLE_SQL = {
-    "p3_found": r"""WITH e AS (
-        SELECT DISTINCT id, lower(coalesce(rejected.normalized, '') || chr(10) || coalesce(accepted.normalized, '') || chr(10) || coalesce(comment_body, '')) AS t FROM episodes WHERE id IS NOT NULL),
-      tok AS (SELECT DISTINCT id, t, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS w FROM e),
-      n AS (SELECT id, t, count(*) AS n FROM tok GROUP BY 1, 2),
-      i AS (SELECT a.id AS x, a.t AS tx, b.id AS y, b.t AS ty, count(*) AS c FROM tok a JOIN tok b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
-      SELECT DISTINCT x AS id_a, y AS id_b FROM i JOIN n p ON p.id = x AND p.t = tx JOIN n q ON q.id = y AND q.t = ty WHERE 10 * c >= 7 * (p.n + q.n - c)""",
+    "p3_found": f"WITH {_PAIRS} SELECT DISTINCT id_a, id_b FROM pr",
+    "p3_groups": f"""WITH RECURSIVE {_PAIRS}, ed AS (SELECT id_a AS a, id_b AS b FROM pr UNION SELECT id_b, id_a FROM pr),
+      rc AS (SELECT a AS id, a AS m FROM ed UNION SELECT ed.b, rc.m FROM rc JOIN ed ON ed.a = rc.id),
+      li AS (SELECT id, count(DISTINCT t2) AS n FROM (SELECT id_a AS id, ty AS t2 FROM pr WHERE tx <> ty UNION ALL SELECT id_b, tx FROM pr WHERE tx <> ty) GROUP BY 1),
+      co AS (SELECT id, count(*) OVER (PARTITION BY t) - 1 AS n FROM e)
+      SELECT rc.id, min(m) AS group_id, max(co.n) AS n_copies, coalesce(max(li.n), 0) AS n_links FROM rc JOIN co ON co.id = rc.id LEFT JOIN li ON li.id = rc.id GROUP BY 1""",
     "p7_found": r"""WITH d AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
       i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
       g AS (SELECT DISTINCT item_id, hash(list_slice(w, k, k + 11)) AS h, list_slice(w, k, k + 11) AS s FROM i, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS k)),
