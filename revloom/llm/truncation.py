@@ -288,8 +288,7 @@ def cut_posteriors(docs: DataFrame) -> DataFrame:
     own = limits.groupBy("source", "importer", "unit", "length").agg(F.max("prior").alias("prior"))
     # Texts whose channel is unknown may have come by any channel of their source.
     any_ = limits.filter("importer is not null").groupBy("source", "unit", "length").agg(F.max("prior").alias("prior")).select("source", F.lit(None).cast("string").alias("importer"), "unit", "length", "prior")
-    # As many rows as there are limits: a handful per channel.
-    known = F.broadcast(own.unionByName(any_).groupBy("source", "importer", "unit", "length").agg(F.max("prior").alias("prior")))
+    known = own.unionByName(any_).groupBy("source", "importer", "unit", "length").agg(F.max("prior").alias("prior"))
     placed = texts
     for unit in ("chars", "bytes"):
         here = known.filter(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("importer").alias("i"), F.col("length").alias(unit), F.col("prior").alias(f"{unit}_prior"), F.concat_ws(":", F.lit(unit), F.col("length")).alias(f"{unit}_limit"))
@@ -308,7 +307,7 @@ def cut_posteriors(docs: DataFrame) -> DataFrame:
     odds = F.col("share") / (1 - F.col("share")) * ratio[F.col("cls")]
     return (
         placed.drop("prior")
-        .join(F.broadcast(share_rows.withColumnRenamed("source", "s").withColumnRenamed("length_limit", "l")), F.col("source").eqNullSafe(F.col("s")) & (F.col("length_limit") == F.col("l")), "left")
+        .join(share_rows.withColumnRenamed("source", "s").withColumnRenamed("length_limit", "l"), F.col("source").eqNullSafe(F.col("s")) & (F.col("length_limit") == F.col("l")), "left")
         .withColumn("share", F.coalesce("share", F.lit(shares.get((None, None), BROKEN))))
         .select("doc_id", "source", "importer", "length_limit", "cls", (odds / (1 + odds)).alias("p_cut"))
     )
