@@ -10,14 +10,16 @@ number found gives the posterior that a text of that length was censored.
 cannot tell is looked up in counts over the whole corpus: an unpunctuated last line is complete if
 lines of that shape also stand, whole, inside other texts and its last word is a whole word elsewhere; a
 log is complete if its last line is of a shape that ends logs and does not go on; dots are a turn
-of phrase if the same words end several texts.
+of phrase if the same words end a share of all dotted texts and rarely go on elsewhere, as the
+beginnings do that cuts leave.
 
 *Combination.* Posterior odds are the censoring odds of the length (or the odds of a broken
 transfer elsewhere) times the likelihood ratio of the ending. The share that was cut is
 re-estimated per limit, and for the rest, by maximum likelihood of the counts per ending.
 
-One pass reads the whole texts; counts are pre-aggregated per batch, then per key. What comes to
-the driver are the candidate limits and one count per limit and ending.
+One pass reads the whole texts; counts are pre-aggregated per batch, then per key. A second one
+looks for what goes on after frequent endings, of which there are at most 1 / ``SHARE_ENDS`` per
+class. What comes to the driver are these, the candidate limits and one count per limit and ending.
 
 Defined cases: null texts are left out, blank ones are complete; a null importer is a channel of
 its own that may share the limits of its source; repeated rows give one result; empty tables give
@@ -53,9 +55,12 @@ ENDINGS = {
 BROKEN = 0.02
 #: A shape of unpunctuated lines is a convention from so many times on, and from this share of all texts on.
 LEAST_INSIDE, SHARE_INSIDE = 3, 5e-4
+#: Words or a log line are a habit from so many endings on, and from this share of the dotted or log endings on.
+LEAST_ENDS, SHARE_ENDS = 3, 5e-3
 #: A candidate limit: texts of just that length, and how many times as many as around it.
 LEAST_AT_LIMIT, TIMES_AROUND, AROUND = 6, 8.0, 40
 
+_SENTENCES = re.compile(r"(?<=[.!?])\s+")
 MARK = re.compile(r"[\[(<{]\s*(?:[\w ]{0,20}\b)?(?:clipped|truncated|cut off|cut|shortened|trimmed|snip(?:ped)?|omitted|more|continued|read more)\b[^\])>}]{0,24}[\])>}]?\s*$|--\s?more\s?--\s*$|\[(?:\.\.\.|…)\]\s*$", re.I)
 SCRAP = re.compile(r"(?:&(?:#x?[0-9a-fA-F]{0,6}|[a-zA-Z]{1,8})?|(?<=[^\W\d])%[0-9A-Fa-f]?|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|<[/!]?[a-zA-Z]{0,10}|\ufffd+)$")
 STOP = re.compile(r"(?:[.!?。！？][\"'»”’)\]*_`]*|[:;]-?[)D(P])$")
@@ -128,7 +133,7 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
     if last.startswith("```"):
         return "fence", None, None
     if DOTS.search(last):
-        return "dots?", "g" + re.split(r"(?<=[.!?])\s+", last)[-1].lower(), None
+        return "dots?", "g" + _SENTENCES.split(last)[-1].lower(), None
     if STOP.search(last) or not (t[-1].isalnum() or t[-1] in "()[]{}<>,;:/\\+*=&|-_'\"`@#$%^~"):
         return "stop", None, None
     if TRAILER.match(last):
@@ -165,7 +170,30 @@ def inner_lines(text: str) -> Counter:
     return found
 
 
-_READ = "doc_id bigint, source string, importer string, chars int, bytes int, cls string, k1 bigint, k2 bigint, key bigint, ends bigint, inside bigint"
+def stem(k1: str) -> str:
+    """What a dotted ending or a last log line says, with its kind and without the dots."""
+    return DOTS.sub("", k1).rstrip() if k1[0] == "g" else k1
+
+
+def going_on(text: str, stems: dict[int, set[str]]) -> set[str]:
+    """The stems, by their length, that begin a sentence or log line of ``text`` which goes on after them."""
+    found = set()
+    log = is_log(text)
+    for line in text.split("\n"):
+        s = line.strip()
+        if log:
+            parts = [] if STAMPED.match(s) else ["t" + log_shape(s)]
+        else:
+            parts = ["g" + x.lower() for x in _SENTENCES.split(s)]
+        for part in parts:
+            for n, those in stems.items():
+                # Dots and quotes do not go on; in a log, a full stop does.
+                if part[:n] in those and (len(part) > n if log else any(map(str.isalnum, part[n:]))):
+                    found.add(part[:n])
+    return found
+
+
+_READ = "doc_id bigint, source string, importer string, chars int, bytes int, cls string, k1 bigint, k2 bigint, key bigint, ends bigint, inside bigint, stem string"
 
 
 def read_endings(docs: DataFrame) -> DataFrame:
@@ -181,34 +209,55 @@ def read_endings(docs: DataFrame) -> DataFrame:
             rows, ends, inside = [], Counter(), Counter()
             for d, s, i, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "importer", "text"))):
                 cls, k1, k2 = ending(t)
-                rows.append((d, s, i, len(t), len(t.encode("utf-8", "replace")), cls, h(k1), h(k2), None, None, None))
+                rows.append((d, s, i, len(t), len(t.encode("utf-8", "replace")), cls, h(k1), h(k2), None, None, None, stem(k1) if cls in ("dots?", "log?") else None))
                 if k1:
                     ends[k1] += 1
                 inside.update(inner_lines(t))
             for k in ends.keys() | inside.keys():
-                rows.append((None,) * 8 + (h(k), ends[k], inside[k]))
-            cols = list(zip(*rows)) or [()] * 11
-            types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()] + [pa.int64()] * 5
+                rows.append((None,) * 8 + (h(k), ends[k], inside[k], None))
+            cols = list(zip(*rows)) or [()] * 12
+            types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()] + [pa.int64()] * 5 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in _READ.split(", ")])
 
     return docs.select("doc_id", "source", "importer", "text").mapInArrow(run, _READ)
 
 
-def classed(read: DataFrame) -> DataFrame:
+def habits(read: DataFrame, docs: DataFrame) -> DataFrame:
+    """(stem): what ends at least ``SHARE_ENDS`` of the dotted or log texts, and more texts than it goes on in."""
+    spark = read.sparkSession
+    ends = read.filter("stem is not null")
+    totals = {r.cls: r.n for r in ends.groupBy("cls").agg(F.count("*").alias("n")).toLocalIterator()}
+    least = F.create_map(*[F.lit(x) for c in ("dots?", "log?") for x in (c, max(LEAST_ENDS, SHARE_ENDS * totals.get(c, 0)))])
+    often = {r.stem: r.n for r in ends.groupBy("cls", "stem").agg(F.count("*").alias("n")).filter(F.col("n") >= least[F.col("cls")]).toLocalIterator() if len(r.stem) > 1}
+    stems: dict[int, set[str]] = {}
+    for x in often:
+        stems.setdefault(len(x), set()).add(x)
+
+    def run(batches):
+        for b in batches:
+            n = Counter(x for t in b.column("text").to_pylist() for x in going_on(t, stems))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["stem", "n"])
+
+    beyond = {r.stem: r.n for r in docs.select("text").mapInArrow(run, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n")).toLocalIterator()} if often else {}
+    return spark.createDataFrame([(x,) for x, n in often.items() if n > beyond.get(x, 0)], "stem string")
+
+
+def classed(read: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, source, importer, chars, bytes, cls): texts with their class settled by the corpus counts."""
     counts = read.filter("key is not null").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside")).filter("ends > 2 or inside > 1")
-    texts = read.filter("doc_id is not null").select("doc_id", "source", "importer", "chars", "bytes", "cls", "k1", "k2")
+    texts = read.filter("doc_id is not null").select("doc_id", "source", "importer", "chars", "bytes", "cls", "k1", "k2", "stem")
     often = max(LEAST_INSIDE, SHARE_INSIDE * texts.count())
-    settled = texts.filter("k1 is null").drop("k1", "k2")
+    settled = texts.filter("k1 is null").drop("k1", "k2", "stem")
     asked = (
         texts.filter("k1 is not null")
         .join(counts.select(F.col("key").alias("k1"), F.col("ends").alias("e1"), F.col("inside").alias("i1")), "k1", "left")
         .join(counts.select(F.col("key").alias("k2"), F.col("inside").alias("i2")), "k2", "left")
         .fillna(0, ["e1", "i1", "i2"])
+        .join(habits(read, docs).withColumn("habit", F.lit(True)), "stem", "left")
     )
     cls = (
-        F.when(F.col("cls") == "log?", F.when((F.col("e1") > 2) & (F.col("e1") > F.col("i1")), "stop").otherwise("open"))
-        .when(F.col("cls") == "dots?", F.when(F.col("e1") > 2, "formula").otherwise("dots"))
+        F.when(F.col("cls") == "log?", F.when(F.col("habit") & (F.col("e1") > F.col("i1")), "stop").otherwise("open"))
+        .when(F.col("cls") == "dots?", F.when(F.col("habit"), "formula").otherwise("dots"))
         .otherwise(F.when((F.col("i1") >= often) & (3 * F.col("i1") >= F.col("e1")) & (F.col("k2").isNull() | (F.col("i2") > 2)), "line").otherwise("open"))
     )
     return settled.unionByName(asked.withColumn("cls", cls).select(*settled.columns))
@@ -282,7 +331,8 @@ def _share_cut(prior: float, counts: dict[str, int]) -> float:
 def cut_posteriors(docs: DataFrame) -> DataFrame:
     """(doc_id, source, importer, length_limit, cls, p_cut): every text with the posterior that it was cut."""
     spark = docs.sparkSession
-    texts = materialize(classed(materialize(read_endings(docs.filter("doc_id is not null and text is not null")), "endings")), "classed")
+    docs = docs.filter("doc_id is not null and text is not null")
+    texts = materialize(classed(materialize(read_endings(docs), "endings"), docs), "classed")
     heaps = candidate_limits(texts)
     limits = spark.createDataFrame([(h["source"], h["importer"], h["unit"], h["length"], censoring_posterior(h)) for h in heaps], "source string, importer string, unit string, length int, prior double")
     own = limits.groupBy("source", "importer", "unit", "length").agg(F.max("prior").alias("prior"))

@@ -78,3 +78,20 @@ def test_censored_fit():
         at = sum(x >= limit for x in lens) if n_at is None else n_at
         heap = {"below": len(below), "n": at, "above": 0 if n_at is None else sum(x > limit for x in lens), "length": limit, "s1": sum(map(math.log, below)), "s2": sum(math.log(x) ** 2 for x in below)}
         assert least <= T.censoring_posterior(heap) <= most
+
+
+def test_beginnings_of_sentences_are_no_habit(spark):
+    rnd = random.Random(5)
+    texts = [sentence(rnd) + " The " + sentence(rnd).lower() for _ in range(600)]
+    texts += [sentence(rnd) + " Hmm, not sure yet..." for _ in range(20)]
+    short = [sentence(rnd) + end for end in (" The...", " The alpha...", " Al…") for _ in range(4)]
+    log = "10:00:01 INFO a\n10:00:02 INFO b\n"
+    logs = [log + f"Process finished with exit code {i % 3}" for i in range(300)] + [log + "Process fini"] * 4
+    rows = [(i, "note", "rest", t) for i, t in enumerate(texts + short + logs)]
+    got = {r.doc_id: r.cls for r in T.cut_posteriors(spark.createDataFrame(rows, "doc_id long, source string, importer string, text string")).collect()}
+    at = len(texts)
+    assert {got[i] for i in range(600, at)} == {"formula"}
+    assert {got[at + i] for i in range(len(short))} == {"dots"}
+    at += len(short)
+    assert {got[at + i] for i in range(300)} == {"stop"} and {got[at + 300 + i] for i in range(4)} == {"open"}
+    assert T.going_on("The sum. To be continued...", {4: {"gthe"}, 16: {"gto be continued"}}) == {"gthe"}
