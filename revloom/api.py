@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,7 +35,10 @@ class Engine:
         return [s for s in catalog(self.root) if not self.allowed or s in self.allowed]
 
     def ingest(self, slug: str, max_prs: int = 200, **options: str) -> dict:
-        """Read merged pull requests after the cursor with their comments; the cursor moves only after all is written."""
+        """Read merged pull requests after the cursor, their comments and the files these are on.
+
+        All is fetched before anything is stored, and the cursor moves only after all is written.
+        """
         store = self.store(slug)
         self.spark.dataSource.register(ForgePages)
         cursor = store.cursors().get("ingest_at")
@@ -46,9 +50,20 @@ class Engine:
         # One read partition per pull request; at most ``max_prs`` numbers.
         numbers = sorted(r.number for r in pulls.select("number").toLocalIterator())
         comments = self.spark.read.format("forge_pages").options(repo=slug, kind="comments", numbers=",".join(map(str, numbers)), **options).load()
-        rows = ingesting.comment_rows(comments).withColumn("repo", F.lit(slug))
+        store.write("incoming_comments", ingesting.comment_rows(comments).withColumn("repo", F.lit(slug)))
+        rows = store.read("incoming_comments")
+        # The places go to a file, one after the other; only the file's name is an option.
+        places = store.path("incoming_places.json")
+        with open(places, "w", encoding="utf-8") as f:
+            for i, r in enumerate(ingesting.files_of(pulls, rows).toLocalIterator()):
+                f.write(("[" if i == 0 else ",") + json.dumps([r.commit_ref, r.path]))
+            f.write("[]" if f.tell() == 0 else "]")
+        store.write("incoming_files", self.spark.read.format("forge_pages").options(repo=slug, kind="contents", files=places, **options).load())
+        files = store.read("incoming_files")
+        blobs = ingesting.blob_rows(files).withColumn("sha", F.lower(F.trim("sha"))).withColumn("repo", F.lit(slug))
+        index = ingesting.index_entries(files).withColumn("repo", F.lit(slug))
         counts = {}
-        for name, new, key in (("prs", pulls, ["number"]), ("comments", rows, ["id"])):
+        for name, new, key in (("prs", pulls, ["number"]), ("comments", rows, ["id"]), ("blobs", blobs, ["sha"]), ("blob_index", index, ["commit_ref", "path"])):
             stored = store.read(name) if store.exists(name) else new.limit(0)
             counts[name], counts[f"{name}_new"] = ingesting.counters(stored, new, key).first()
             store.write(name, ingesting.upsert(stored, new, key)[0])
@@ -66,6 +81,12 @@ class Engine:
         prs, comments, blobs, index = store.raw()
         if store.exists("prs"):
             prs, comments = store.read("prs"), store.read("comments")
+        # Fetched files come before the raw ones of the same sha or place.
+        if store.exists("blobs"):
+            kept = store.read("blobs").select("repo", "sha", "text")
+            blobs = kept.unionByName(blobs.join(kept.select("sha"), F.lower(F.trim(blobs.sha)) == kept.sha, "left_anti"))
+        if store.exists("blob_index"):
+            index = store.read("blob_index").select("repo", "commit_ref", "path", "sha", "pos").unionByName(index.withColumn("pos", F.col("pos") + 1))
         if comments.isEmpty():
             raise NoData(f"{slug} has no comments")
         episodes, discards = linking.link_comments(comments, prs, index, blobs)

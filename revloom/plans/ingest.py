@@ -11,6 +11,8 @@ from revloom.functions import text as T
 PULL_SCHEMA = "id bigint, node_id string, number int, state string, title string, html_url string, merged_at string, merge_commit_sha string, draft boolean, base struct<ref: string>, head struct<ref: string>, updated_at string"
 COMMENT_SCHEMA = "id bigint, node_id string, pull_request_review_id bigint, body string, path string, diff_hunk string, line int, original_line int, side string, commit_id string, original_commit_id string, user struct<login: string>, created_at string, updated_at string, html_url string, url string, pull_request_url string"
 CONTENT_SCHEMA = "type string, encoding string, size int, name string, path string, content string, sha string, url string"
+#: What was asked for, and the answer.
+FILE_SCHEMA = "commit_ref string, asked_path string, " + CONTENT_SCHEMA
 
 
 def _filled(c: Column) -> Column:
@@ -57,6 +59,18 @@ def blob_rows(contents: DataFrame) -> DataFrame:
     return contents.filter("type = 'file'").select("sha", "path", T.redact(decoded).alias("text")).filter("text is not null").groupBy("sha").agg(F.min_by("path", "path").alias("path"), F.min_by("text", "path").alias("text"))
 
 
+def files_of(pulls: DataFrame, comments: DataFrame) -> DataFrame:
+    """(commit_ref, path): the files comments are on, at the merge commit of their pull request and at the comment's commit."""
+    merged = comments.join(pulls.select(F.col("number").alias("pr_number"), "merge_commit_sha"), "pr_number").select(F.col("merge_commit_sha").alias("commit_ref"), "path")
+    places = merged.unionByName(comments.select(F.col("commit_id").alias("commit_ref"), "path"))
+    return places.select(T.trim(F.col("commit_ref")).alias("commit_ref"), T.trim(F.col("path")).alias("path")).filter("commit_ref <> '' and path <> ''").distinct()
+
+
+def index_entries(files: DataFrame) -> DataFrame:
+    """(commit_ref, path, sha, pos) of fetched files."""
+    return files.select("commit_ref", F.col("asked_path").alias("path"), F.lower(T.trim(F.col("sha"))).alias("sha"), F.lit(0).cast("bigint").alias("pos")).filter("sha <> ''")
+
+
 def watermark(prs: DataFrame) -> DataFrame:
     """(merged_at, number) of the last merged pull request; no row for none."""
     return prs.agg(F.max(F.struct("merged_at", "number")).alias("w")).filter("w is not null").select("w.*")

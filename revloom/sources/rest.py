@@ -3,9 +3,10 @@
 ``spark.dataSource.register(ForgePages)``, then
 ``spark.read.format("forge_pages").schema(S).option("kind", "pulls").option("repo", "a/b").load()``.
 
-Options: kind (pulls or comments), repo, path (a folder of recorded pages: nothing is fetched),
-url (the interface's address, without path), token, max_prs, since, retries, numbers (the pull
-requests whose comments to read, one partition each).
+Options: kind (pulls, comments or contents), repo, path (a folder of recorded pages: nothing is
+fetched), url (the interface's address, without path), token, max_prs, since, retries, numbers (the
+pull requests whose comments to read, one partition each), files (a JSON file with the [ref, path]
+pairs of the contents to read, at most ``PAGE`` to a partition; a file that is not there gives no row).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import os
 import re
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -91,6 +93,22 @@ def recorded(path: str, name: str):
     return get
 
 
+def file_at(o: dict, ref: str, path: str) -> dict | None:
+    """The contents answer for a path at a ref, None where there is none; folders and what is no base64 file are errors."""
+    if o.get("path"):
+        row = recorded(o["path"], f"contents/{urllib.parse.quote(ref, safe='')}/{urllib.parse.quote(path, safe='')}")(1) or None
+    else:
+        row = fetch(f"{o['url']}/repos/{o['repo']}/contents/{urllib.parse.quote(path)}?ref={urllib.parse.quote(ref, safe='')}", o.get("token"), int(o.get("retries", RETRIES)))
+    if row is None:
+        return None
+    kind = row.get("type") if isinstance(row, dict) else "dir"
+    if kind != "file":
+        raise AccessFailed("failed", f"{path}@{ref}: a file was asked for, not {kind}")
+    if row.get("encoding") != "base64" or not isinstance(row.get("content"), str):
+        raise AccessFailed("failed", f"{path}@{ref}: no base64 content")
+    return row
+
+
 def is_merged(row: dict, since: str | None) -> bool:
     return not row.get("draft") and bool(row.get("merged_at")) and bool(row.get("merge_commit_sha")) and (since is None or row["merged_at"] > since)
 
@@ -101,9 +119,9 @@ class ForgePages(DataSource):
         return "forge_pages"
 
     def schema(self):
-        from revloom.plans.ingest import COMMENT_SCHEMA, PULL_SCHEMA
+        from revloom.plans.ingest import COMMENT_SCHEMA, FILE_SCHEMA, PULL_SCHEMA
 
-        return PULL_SCHEMA if self.options.get("kind", "pulls") == "pulls" else COMMENT_SCHEMA
+        return {"pulls": PULL_SCHEMA, "contents": FILE_SCHEMA}.get(self.options.get("kind", "pulls"), COMMENT_SCHEMA)
 
     def reader(self, schema):
         return _Reader(schema, dict(self.options))
@@ -116,12 +134,22 @@ class _Reader(DataSourceReader):
     def partitions(self):
         if self.options.get("kind", "pulls") == "pulls":
             return [InputPartition(None)]
+        if self.options["kind"] == "contents":
+            with open(self.options["files"], encoding="utf-8") as f:
+                files = json.load(f)
+            return [InputPartition(files[i : i + PAGE]) for i in range(0, len(files), PAGE)]
         return [InputPartition(int(n)) for n in self.options.get("numbers", "").split(",") if n.strip()]
 
     def read(self, partition):
         if partition is None:  # no pull request, no comments
             return
         o = self.options
+        if o.get("kind") == "contents":
+            for ref, path in partition.value:
+                row = file_at(o, ref, path)
+                if row is not None:
+                    yield _shaped(row | {"commit_ref": ref, "asked_path": path}, self.schema)
+            return
         number = partition.value
         if o.get("path"):
             get = recorded(o["path"], "pulls" if number is None else f"comments/{number}")

@@ -1,3 +1,4 @@
+import base64
 import io
 import json
 import os
@@ -163,3 +164,41 @@ def test_scratch_tables_can_be_released(spark):
     assert kept.count() == 5
     session.release(spark)
     assert not os.path.exists(kept.inputFiles()[0].removeprefix("file://"))
+
+
+def contents(text, sha, **over):
+    return {"type": "file", "encoding": "base64", "size": len(text), "name": "x.ts", "path": "src/api/x.ts", "content": base64.encodebytes(text.encode()).decode(), "sha": sha, "url": "u"} | over
+
+
+def test_ingest_fetches_the_files_comments_are_on(spark, pages, tmp_path_factory):
+    at = lambda ref: os.path.join(pages, "contents", ref, "src%2Fapi%2Fx.ts.json")
+    for ref, answer in (("sha1", contents("ctx\nconst result = client.get(url, options);\n", "B2")), ("c", contents('ctx\nconst result = fetch(url, options);\ntoken = "abcdefgh1234"\n', "b1"))):
+        os.makedirs(os.path.dirname(at(ref)))
+        with open(at(ref), "w") as f:
+            json.dump(answer, f)
+    e = Engine(spark, str(tmp_path_factory.mktemp("data")), now=lambda: datetime(2025, 4, 1))
+    done = e.ingest("a/b", path=pages)
+    assert done["blobs"] == done["blobs_new"] == 2 and done["blob_index_new"] == 2
+    stored = {r.sha: r.text for r in e.store("a/b").read("blobs").collect()}
+    assert set(stored) == {"b1", "b2"} and "abcdefgh1234" not in stored["b1"]
+    assert {(r.commit_ref, r.path, r.sha) for r in e.store("a/b").read("blob_index").collect()} == {("sha1", "src/api/x.ts", "b2"), ("c", "src/api/x.ts", "b1")}
+    assert e.link("a/b") == {"episodes": 1, "medium_or_higher": 1, "discards": 1}
+    assert e.store("a/b").read("episodes").first().accepted.text == "const result = client.get(url, options);"
+    assert e.compile("a/b", min_support=1)["recipes"] == 1
+
+
+def test_what_is_no_file_stops_ingest(spark, pages, tmp_path_factory):
+    os.makedirs(os.path.join(pages, "contents", "sha1"))
+    with open(os.path.join(pages, "contents", "sha1", "src%2Fapi%2Fx.ts.json"), "w") as f:
+        json.dump([contents("x", "s")], f)
+    e = Engine(spark, str(tmp_path_factory.mktemp("data")))
+    with pytest.raises(Exception, match="a file was asked for"):
+        e.ingest("a/b", path=pages)
+    assert not e.store("a/b").exists("prs") and not e.store("a/b").cursors()
+    asked = {"path": pages}
+    assert rest.file_at(asked, "gone", "src/api/x.ts") is None
+    os.makedirs(os.path.join(pages, "contents", "r"))
+    with open(os.path.join(pages, "contents", "r", "a.json"), "w") as f:
+        json.dump(contents("x", "s", encoding="none"), f)
+    with pytest.raises(AccessFailed):
+        rest.file_at(asked, "r", "a")
