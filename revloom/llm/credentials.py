@@ -7,10 +7,10 @@
    A value that ``SHARED_BY`` or more owners have is a placeholder or sample and is suppressed.
 3. The rare structured values left are the confirmed secrets.
 4. Every text is then scanned again for confirmed secrets, also where nothing around them gives them
-   away. Secrets and texts meet by *anchors* (runs of letters and digits that hold both): a text is
-   joined only with the secrets of which it has the anchor, and one Aho-Corasick automaton per batch
-   of joined rows finds their exact places. The set of secrets grows with the data, so it is joined,
-   never broadcast or collected.
+   away. The secrets are taken in blocks of about ``SCAN_BLOCK``, and each block is one Aho-Corasick
+   automaton that runs over all texts, so that a secret is found wherever it stands, also amid other
+   letters. The lines of a key block are looked for one by one. Secrets of under ``WHOLE_FROM``
+   characters must stand apart from letters and digits; inside longer words they are coincidences.
 
 Masking replaces each piece of a credential by ``MASK`` and leaves all else, quotes included.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -34,6 +35,10 @@ from revloom.session import materialize, table
 #: Unrelated owners from which on a value is a shared placeholder.
 SHARED_BY = 5
 MASK = "[MASKED]"
+#: Secrets that one pass over the texts looks for, and how many of their last characters the automaton holds.
+SCAN_BLOCK, SUFFIX = 200_000, 8
+#: Length from which on a secret is looked for inside longer words too.
+WHOLE_FROM = 8
 
 #: Tokens that their issuer's prefix and length tell.
 TOKENS = re.compile(
@@ -94,7 +99,8 @@ _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _HASHED = re.compile(r"^(?:sha\d+|md5|blake2\w*)[-:$]|^\$(?:2[aby]|argon2\w*|5|6|1)\$|^\{SSHA", re.I)
 _SUBWORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NAME = re.compile(r"^(?:[A-Za-z]+(?:[._/\-]+[A-Za-z]+)*)(?:_?[0-9a-f]{1,2})?$")
-_ANCHOR = re.compile(r"[A-Za-z0-9]{8,}")
+#: Names of lower-case words and a short mark; the signs between their words make them look drawn.
+_MARKED_NAME = re.compile(r"^[a-z]+(?:[._/\-][a-z]+)+[._/\-]?[0-9a-f]{1,2}$")
 _BLOCK_LINE = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
 
@@ -144,6 +150,8 @@ def bound_value(role: str, v: str, quoted: bool) -> bool:
         return len(v) >= 16 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
     if role == "password" and quoted:
         return not is_identifier(v) or is_random(v)
+    if _MARKED_NAME.match(v):
+        return False
     if is_identifier(v) and not is_random(v):
         return False
     return len(v) >= 8 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and (quoted or is_random(v))
@@ -262,21 +270,6 @@ def credentials(text: str) -> list[tuple[str, str, list[str]]]:
     return [c for c in out if not any(c[1] != d[1] and c[1] in d[1] and d[0] != "private key" for d in out)]
 
 
-def anchor_runs(text: str) -> set[str]:
-    """The runs of letters and digits that hold a digit before their last three characters."""
-    return {r for r in _ANCHOR.findall(text) if not r[:-3].isalpha() and not r.isdigit()}
-
-
-def anchor_of(value: str) -> str | None:
-    return max(anchor_runs(value), key=lambda r: (len(r), r), default=None)
-
-
-def _hash(run: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(run) - (1 << 63)
-
-
 def _decode(text, encoding):
     if text is None or encoding == "none":
         return None
@@ -311,84 +304,98 @@ _KEYS = "src_table string, src_key string, field_name string"
 
 
 def literal_index(fields: DataFrame) -> DataFrame:
-    """(src_table, src_key, field_name, owner, kind, value, pieces, anchors): what each text may hold.
-
-    One row per candidate literal, and one row without a value for the anchors of a text.
-    """
+    """(src_table, src_key, field_name, owner, kind, value, pieces): the candidate literals of each text."""
 
     def run(batches):
         for b in batches:
-            cols = {n: [] for n in ("src_table", "src_key", "field_name", "owner", "kind", "value", "pieces", "anchors")}
+            cols = {n: [] for n in ("src_table", "src_key", "field_name", "owner", "kind", "value", "pieces")}
             for t, k, f, o, e, x in zip(*(b.column(n).to_pylist() for n in ("src_table", "src_key", "field_name", "owner", "encoding", "text"))):
                 x = _decode(x, e)
                 if not x:
                     continue
-                rows = [(kind, v, p, None) for kind, v, p in credentials(x)]
-                runs = sorted(map(_hash, anchor_runs(x)))
-                if runs:
-                    rows.append((None, None, None, runs))
-                for r in rows:
+                for r in credentials(x):
                     for n, v in zip(cols, (t, k, f, o, *r)):
                         cols[n].append(v)
-            types = {"pieces": pa.list_(pa.string()), "anchors": pa.list_(pa.int64())}
+            types = {"pieces": pa.list_(pa.string())}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.string())) for n, v in cols.items()], names=list(cols))
 
-    return fields.mapInArrow(run, _KEYS + ", owner string, kind string, value string, pieces array<string>, anchors array<bigint>")
+    return fields.mapInArrow(run, _KEYS + ", owner string, kind string, value string, pieces array<string>")
 
 
 def confirmed(index: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     """(value): candidate values of fewer than ``shared_by`` owners."""
-    return index.filter("value is not null").groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners")).filter(F.col("owners") < shared_by).select("value")
+    return index.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners")).filter(F.col("owners") < shared_by).select("value")
 
 
-def _scan(fields: DataFrame, index: DataFrame, secrets: DataFrame) -> DataFrame:
-    """(src_table, src_key, field_name, pieces): confirmed secrets found again by automaton."""
-    keys = ["src_table", "src_key", "field_name"]
+def held_in(text: str, automaton, by_end: dict[str, list[str]]) -> set[str]:
+    """The values that stand in ``text``, told by their last characters and then compared whole."""
+    found = set()
+    for at, end in automaton.iter(text):
+        for v in by_end[end]:
+            start = at + 1 - len(v)
+            if start < 0 or v in found or not text.startswith(v, start):
+                continue
+            if len(v) >= WHOLE_FROM or not ((start and text[start - 1].isalnum()) or text[at + 1 : at + 2].isalnum()):
+                found.add(v)
+    return found
 
-    def anchors(batches):
-        for b in batches:
-            vs = b.column("value").to_pylist()
-            rows = [(anchor_of(v), v) for v in vs]
-            rows = [(_hash(a), v) for a, v in rows if a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["anchor", "value"])
-
-    by_anchor = secrets.mapInArrow(anchors, "anchor bigint, value string")
-    runs = index.filter("anchors is not null").select(*keys, F.explode("anchors").alias("anchor"))
-    # Texts that are known to hold the value already need no second look.
-    known = index.filter("value is not null").select(*keys, "value").distinct()
-    met = runs.join(by_anchor, "anchor").select(*keys, "value").distinct().join(known, [*keys, "value"], "left_anti")
-    # Written first: the join below then knows how little is to be scanned.
-    joined = fields.select(*keys, "encoding", "text").join(materialize(met, "met"), keys)
-
-    def scan(batches):
-        import ahocorasick
 
-        for b in batches:
-            values = b.column("value").to_pylist()
-            automaton = ahocorasick.Automaton()
-            for v in set(values):
-                automaton.add_word(v, v)
-            automaton.make_automaton()
-            held: dict[tuple, set[str]] = {}
-            out = []
-            for t, k, f, e, x, v in zip(*(b.column(n).to_pylist() for n in (*keys, "encoding", "text")), values):
-                key = (t, k, f, x)
-                if key not in held:
-                    held[key] = {w for _, w in automaton.iter(_decode(x, e) or "")}
-                if v in held[key]:
-                    out.append((t, k, f, [v]))
-            cols = list(zip(*out)) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[i], pa.string()) for i in range(3)] + [pa.array(cols[3], pa.list_(pa.string()))], names=[*keys, "pieces"])
-
-    return joined.mapInArrow(scan, _KEYS + ", pieces array<string>")
+def _scan(fields: DataFrame, index: DataFrame, shared_by: int) -> DataFrame:
+    """(src_table, src_key, field_name, pieces): confirmed secrets found again by automaton."""
+    keys = ["src_table", "src_key", "field_name"]
+    # The lines of a key block are secrets of their own, as no text holds them joined.
+    sought = index.select(*keys, "owner", F.explode(F.when(F.col("kind") == "private key", F.col("pieces")).otherwise(F.array("value"))).alias("value"))
+    secrets = materialize(confirmed(sought, shared_by), "sought")
+    blocks = -(-secrets.count() // SCAN_BLOCK)
+
+    def scan_block(values: list[str], name: str):
+        def scan(batches):
+            import ahocorasick
+
+            # Built once per Python worker, not once per task; the last block's is let go.
+            kept = ahocorasick.__dict__.setdefault("_revloom", {})
+            if name not in kept:
+                kept.clear()
+                by_end: dict[str, list[str]] = {}
+                for v in values:
+                    if len(set(v)) >= 5:
+                        by_end.setdefault(v[-SUFFIX:], []).append(v)
+                automaton = ahocorasick.Automaton()
+                for end in by_end:
+                    automaton.add_word(end, end)
+                automaton.make_automaton()
+                kept[name] = automaton, by_end
+            automaton, by_end = kept[name]
+            for b in batches:
+                out = []
+                for t, k, f, e, x in zip(*(b.column(n).to_pylist() for n in (*keys, "encoding", "text"))) if by_end else ():
+                    x = _decode(x, e)
+                    if x:
+                        out += [(t, k, f, v) for v in held_in(x, automaton, by_end)]
+                cols = list(zip(*out)) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=[*keys, "value"])
+
+        return scan
+
+    met = None
+    for k in range(blocks):
+        values = [r.value for r in secrets.filter(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k).toLocalIterator()]
+        part = fields.select(*keys, "encoding", "text").mapInArrow(scan_block(values, uuid.uuid4().hex), _KEYS + ", value string")
+        # Written at once where there are several, so that no more than one block is held.
+        part = materialize(part, "met") if blocks > 1 else part
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        met = sought.select(*keys, "value").limit(0)
+    # What is told by its context is in the index already.
+    return met.join(sought.select(*keys, "value").distinct(), [*keys, "value"], "left_anti").select(*keys, F.array("value").alias("pieces"))
 
 
 def held_credentials(fields: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     """(src_table, src_key, field_name, pieces): one row per credential and field."""
     index = materialize(literal_index(fields), "literals")
     secrets = materialize(confirmed(index, shared_by), "secrets")
-    direct = index.filter("value is not null").join(secrets, "value", "left_semi").select("src_table", "src_key", "field_name", "pieces")
-    return direct.unionByName(_scan(fields, index, secrets))
+    direct = index.join(secrets, "value", "left_semi").select("src_table", "src_key", "field_name", "pieces")
+    return direct.unionByName(_scan(fields, index, shared_by))
 
 
 def masked_texts(fields: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
