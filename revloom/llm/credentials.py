@@ -35,6 +35,8 @@ from revloom.session import materialize, table
 #: Unrelated owners from which on a value is a shared placeholder.
 SHARED_BY = 5
 MASK = "[MASKED]"
+#: Length under which a piece is masked only at its place.
+SHORT = 6
 #: Secrets that one pass over the texts looks for, and how many of their last characters the automaton holds.
 SCAN_BLOCK, SUFFIX = 200_000, 8
 #: Length from which on a secret is looked for inside longer words too.
@@ -83,6 +85,9 @@ LINE_START = re.compile(r"(?:^|\n)[+\- ]?[ \t]*(?:(?://|#|;|--)[ \t]*)?(?:export
 #: Literals joined by a sign or over lines, whatever they are bound to.
 JOINED = re.compile(_STRING + r"(?:[ \t]*(?:(?:\+|\.\.?|\\)[ \t]*(?:\r?\n[+\- ]?[ \t]*)?|\r?\n[+\- ]?[ \t]*(?:\+|\.\.?)?[ \t]*)" + _STRING + r")+")
 
+#: What stands between two pieces of a credential.
+_BETWEEN = r"(?:[\"'](?:[ \t\r\n+\-.]|\\(?![\"']))*[rbfu]?[\"'])+"
+
 #: Parts of words that make a name worth a look.
 TELLING = ("passw", "passphrase", "pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "pat", "pin", "cookie", "jwt")
 _SECRET_WORDS = {"password", "passwd", "pwd", "pass", "passphrase", "secret", "secrets", "token", "apikey", "credential", "credentials", "auth", "bearer", "pat", "pin", "cookie", "jwt", "authorization", "authtoken", "accesskey", "secretkey", "privatekey"}
@@ -398,19 +403,44 @@ def held_credentials(fields: DataFrame, shared_by: int = SHARED_BY) -> DataFrame
     return direct.unionByName(_scan(fields, index, shared_by))
 
 
+def mask(text: str, held: list[list[str]]) -> tuple[str, int]:
+    """``text`` without the credentials of which it holds the pieces, and how many places were masked.
+
+    Pieces of ``SHORT`` characters and more are masked everywhere, shorter ones where they stand
+    beside the other pieces of their credential or, if it is not written so, as whole words.
+    """
+    everywhere, words, spans = set(), set(), []
+    for pieces in held:
+        everywhere.update(re.escape(p) for p in pieces if len(p) >= SHORT)
+        short = [p for p in pieces if len(p) < SHORT]
+        if not short:
+            continue
+        chain = list(re.finditer(_BETWEEN.join(f"({re.escape(p)})" for p in pieces), text)) if len(pieces) > 1 else []
+        spans += [m.span(i + 1) for m in chain for i in range(len(pieces))]
+        if not chain:
+            words.update(rf"(?<![A-Za-z0-9]){re.escape(p)}(?![A-Za-z0-9])" for p in short)
+    for those in (everywhere, words):
+        if those:
+            spans += [m.span() for m in re.finditer("|".join(sorted(those, key=len, reverse=True)), text)]
+    out, at, count = [], 0, 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], MASK]
+            count += 1
+        at = max(at, end)
+    return "".join(out) + text[at:], count
+
+
 def masked_texts(fields: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     """(src_table, src_key, field_name, n_masked, masked): the texts that hold credentials, with every piece masked."""
     keys = ["src_table", "src_key", "field_name"]
-    pieces = held_credentials(fields, shared_by).select(*keys, F.explode("pieces").alias("piece")).groupBy(*keys).agg(F.collect_set("piece").alias("pieces"))
+    pieces = held_credentials(fields, shared_by).groupBy(*keys).agg(F.collect_set("pieces").alias("pieces"))
 
     def run(batches):
         for b in batches:
             n, texts = [], []
             for e, x, ps in zip(*(b.column(c).to_pylist() for c in ("encoding", "text", "pieces"))):
-                # A short piece is only the beginning of a token; masking it everywhere would harm other code.
-                telling = [p for p in ps if len(p) >= 6] or ps
-                alternatives = "|".join(re.escape(p) for p in sorted(telling, key=len, reverse=True))
-                masked, count = re.subn(alternatives, MASK, _decode(x, e) or "")
+                masked, count = mask(_decode(x, e) or "", ps)
                 n.append(count)
                 texts.append(masked)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(n, pa.int64()), pa.array(texts, pa.string())], names=[*keys, "n_masked", "masked"])

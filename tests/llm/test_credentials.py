@@ -104,3 +104,11 @@ def test_blocks_of_secrets_give_the_same(spark, monkeypatch):
 
 def test_marked_names_are_no_secrets():
     assert C.credentials("auth = retry_router_d7\n") == [] == C.credentials('token = "clean_kernel_digest_f5"')
+
+
+def test_short_pieces_are_masked_at_their_places():
+    text = f'dsn = "postgres://app:aB3d$@db.example/x"\nt = "{GHP}"\npin_password = "x9$" + "Q7" +\n  "zR!2"\nQ7 = f(x9$)'
+    found = [ps for _, _, ps in C.credentials(text)]
+    assert ["aB3d$"] in found and ["x9$", "Q7", "zR!2"] in found
+    got, n = C.mask(text, found)
+    assert got == 'dsn = "postgres://app:[MASKED]@db.example/x"\nt = "[MASKED]"\npin_password = "[MASKED]" + "[MASKED]" +\n  "[MASKED]"\nQ7 = f(x9$)' and n == 5
