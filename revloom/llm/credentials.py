@@ -65,11 +65,11 @@ TOKENS = re.compile(
     r")"
 )
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-URL_USER = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,128})@", re.I)
+URL_USER = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,})@", re.I)
 URL_QUERY = re.compile(r"[?&][\w.-]*(?:token|sig|signature|secret|api_?key|apikey|access_?key|password|auth|key)=([^\s&#\"'<>;,)`]{8,})", re.I)
 HEADER = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/_.~=-]{8,})")
-CURL_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)[ =]+[\"']?([^\s:\"']{1,64}):([^\s\"']{4,128})")
-FLAG = re.compile(r"(?<![\w-])--(?:password|passwd|token|api-key|secret)[ =]+[\"']?([^\s\"']{6,128})")
+CURL_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)[ =]+[\"']?([^\s:\"']{1,64}):([^\s\"']{4,})")
+FLAG = re.compile(r"(?<![\w-])--(?:password|passwd|token|api-key|secret)[ =]+[\"']?([^\s\"']{6,})")
 _STRING = r"[rbfu]?(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')"
 STRING = re.compile(_STRING)
 #: Beginnings of the tokens above, to pass over texts without any.
@@ -79,12 +79,13 @@ BINDING = re.compile(r"([\w.\-]{0,24})[\"'\]]{0,2}[ \t]*(:=|=>|[:=,])[ \t]*\(?[
 #: A quoted value with the pieces that are added on.
 QUOTED = re.compile(r"(?:\\?\r?\n[+\- ]?[ \t]*)?(" + _STRING + r"(?:[ \t]*(?:\+|\.\.?|\\)?[ \t]*(?:\r?\n[+\- ]?[ \t]*)?(?:\+|\.\.?)?[ \t]*" + _STRING + r")*)")
 #: A value without quotes, alone on its line or folded onto the next.
-BARE = re.compile(r"(?:[>|][+-]?[ \t]*\r?\n[+\- ]?[ \t]*)?([^\s\"'`,;(){}\[\]<>$#*][^\s\"'`,;(){}\[\]<>]{7,200})[;,]?[ \t]*(?:\r?\n|\Z)")
+BARE = re.compile(r"(?:[>|][+-]?[ \t]*\r?\n[+\- ]?[ \t]*)?([^\s\"'`,;(){}\[\]<>$#*][^\s\"'`,;(){}\[\]<>]{7,})[;,]?[ \t]*(?:\r?\n|\Z)")
 #: What may stand before a name that is bound without quotes.
 LINE_START = re.compile(r"(?:^|\n)[+\- ]?[ \t]*(?:(?://|#|;|--)[ \t]*)?(?:export[ \t]+|set[ \t]+|-[ \t]+|ENV[ \t]+)?[\w.\-]*\Z")
-#: Literals joined by a sign or over lines, whatever they are bound to.
-JOINED = re.compile(_STRING + r"(?:[ \t]*(?:(?:\+|\.\.?|\\)[ \t]*(?:\r?\n[+\- ]?[ \t]*)?|\r?\n[+\- ]?[ \t]*(?:\+|\.\.?)?[ \t]*)" + _STRING + r")+")
+#: Literals joined by a sign, over lines or side by side, whatever they are bound to.
+JOINED = re.compile(_STRING + r"(?:[ \t]*(?:(?:\+|\.\.?|\\)[ \t]*(?:\r?\n[+\- ]?[ \t]*)?|\r?\n[+\- ]?[ \t]*(?:\+|\.\.?)?[ \t]*)?" + _STRING + r")+")
 
+_SIDE_BY_SIDE = re.compile(r"(?:\"[ \t]*[rbfu]?[\"'])|(?:'[ \t]*[rbfu]?[\"'])")
 #: What stands between two pieces of a credential.
 _BETWEEN = r"(?:[\"'](?:[ \t\r\n+\-.]|\\(?![\"']))*[rbfu]?[\"'])+"
 
@@ -149,7 +150,7 @@ def is_identifier(v: str) -> bool:
 
 def bound_value(role: str, v: str, quoted: bool) -> bool:
     """Whether a literal bound to a name of that role is a credential."""
-    if len(v) < 6 or len(v) > 400 or any(c.isspace() for c in v) or is_placeholder(v) or _HASHED.match(v) or _UUID.match(v) or "://" in v:
+    if len(v) < 6 or any(c.isspace() for c in v) or is_placeholder(v) or _HASHED.match(v) or _UUID.match(v) or "://" in v:
         return False
     if _HEX.match(v):
         return len(v) >= 16 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
@@ -204,13 +205,15 @@ def credentials(text: str) -> list[tuple[str, str, list[str]]]:
         for m in TOKENS.finditer(text):
             if token_ok(m.group()):
                 add("token", m.group(), [m.group()])
-    if starts or '" +' in text or "' +" in text:
+    if '"' in text or "'" in text:
         for m in JOINED.finditer(text):
             pieces = [a or b for a, b in STRING.findall(m.group())]
             value = _unescape("".join(pieces))
-            for t in TOKENS.finditer(value) if len(value) < 2000 else ():
-                if token_ok(t.group()):
-                    add("token", t.group(), _touched(pieces, t.start(), t.end()))
+            for t in TOKENS.finditer(value):
+                parts = _touched(pieces, t.start(), t.end())
+                # Literals side by side may be two values: a token that is whole in the first ends there.
+                if token_ok(t.group()) and not (len(parts) > 1 and _SIDE_BY_SIDE.search(m.group()) and TOKENS.search(parts[0])):
+                    add("token", t.group(), parts)
     if "://" in text:
         if "@" in text:
             for m in URL_USER.finditer(text):

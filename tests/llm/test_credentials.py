@@ -112,3 +112,13 @@ def test_short_pieces_are_masked_at_their_places():
     assert ["aB3d$"] in found and ["x9$", "Q7", "zR!2"] in found
     got, n = C.mask(text, found)
     assert got == 'dsn = "postgres://app:[MASKED]@db.example/x"\nt = "[MASKED]"\npin_password = "[MASKED]" + "[MASKED]" +\n  "[MASKED]"\nQ7 = f(x9$)' and n == 5
+
+
+def test_no_length_is_too_long():
+    long = "aB3dE5fG7hJ9" * 60
+    for text in (f'api_secret = "{long}"', f"API_SECRET={long}\n", f"dsn = postgres://app:{long}@db.example/x", f"curl -u svc:{long} https://x.example", f"run --password {long}"):
+        assert [v for _, v, _ in C.credentials(text)] == [long]
+    filler = "word " * 500
+    assert [v for _, v, _ in C.credentials(f'run("{GHP}" "name1")')] == [GHP]
+    for sign in ('"+"', '" "', '" . "', '" \\\n"', '"\n"'):
+        assert [v for _, v, _ in C.credentials(f'x = "{filler}" + "gh{sign}{GHP[2:]}"')] == [GHP], sign
