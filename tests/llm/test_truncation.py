@@ -95,3 +95,57 @@ def test_beginnings_of_sentences_are_no_habit(spark):
     at += len(short)
     assert {got[at + i] for i in range(300)} == {"stop"} and {got[at + 300 + i] for i in range(4)} == {"open"}
     assert T.going_on("The sum. To be continued...", {4: {"gthe"}, 16: {"gto be continued"}}) == {"gthe"}
+
+
+def chat(rnd, n):
+    """Lines that mostly end without a full stop, cut at 300 characters where they are longer."""
+    rows, cut = [], set()
+    for i in range(n):
+        words = [rnd.choice(["alpha", "beta", "gamma", "delta", "window", "sensor"]) + rnd.choice(["", "s", "x%d" % rnd.randint(0, 999)]) for _ in range(max(4, int(rnd.lognormvariate(3.3, 0.5))))]
+        text = " ".join(words) + (" then." if rnd.random() < 0.2 else "")
+        if len(text) > 300:
+            text = text[:300]
+            cut.add(i)
+        rows.append((i, "chat", "hook", text))
+    return rows, cut
+
+
+def test_the_fit_decides(spark):
+    # Open endings are a habit of this source, so only the limit tells its cut texts; beside them an ordinary source.
+    rows, cut = chat(random.Random(2), 3000)
+    more, more_cut = make(4, 800)
+    rows += [(10_000 + i, *r) for i, *r in more]
+    df = spark.createDataFrame(rows, "doc_id long, source string, importer string, text string")
+    with_fit = {r.doc_id for r in T.cut_posteriors(df).filter("p_cut >= 0.5").collect()}
+    without = {r.doc_id for r in T.cut_posteriors(df, limits=False).filter("p_cut >= 0.5").collect()}
+    chat_found = {i for i in with_fit if i < 10_000}
+    assert len(cut) > 50 and len(chat_found & cut) >= 0.9 * len(cut) and len(chat_found & cut) >= 0.9 * len(chat_found)
+    assert not {i for i in without if i < 10_000}
+    rest = {i - 10_000 for i in with_fit if i >= 10_000}
+    assert len(rest & more_cut) >= 0.95 * len(more_cut) and len(rest & more_cut) >= 0.95 * len(rest)
+
+
+def test_complete_looking_endings_at_a_limit(spark):
+    # Lists of lines without full stops: a cut mostly leaves what looks like one more whole line.
+    rnd = random.Random(8)
+    rows, cut = [], set()
+    for i in range(2000):
+        text = "\n".join("- " + " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rnd.randint(2, 7))) for _ in range(max(1, int(rnd.lognormvariate(2.0, 0.6)))))
+        if len(text) > 500:
+            text = text[:500]
+            cut.add(i)
+        rows.append((i, "list", "rest", text))
+    df = spark.createDataFrame(rows, "doc_id long, source string, importer string, text string")
+    with_fit, without = ({r.doc_id: r for r in T.cut_posteriors(df, limits=x).collect()} for x in (True, False))
+    lines = [i for i in cut if with_fit[i].cls == "line"]
+    assert len(lines) > 20 and {with_fit[i].length_limit for i in lines} == {"chars:500"}
+    assert all(with_fit[i].p_cut >= 0.5 > without[i].p_cut for i in lines)
+    assert not {i for i, r in with_fit.items() if r.p_cut >= 0.5} - cut
+
+
+def test_unrelated_texts_change_nothing(spark):
+    rows, _ = make(6, 500)
+    other = [(100_000 + i, "elsewhere", "bulk", sentence(random.Random(i)) * 3) for i in range(3000)]
+    schema = "doc_id long, source string, importer string, text string"
+    alone, beside = ({r.doc_id: r.cls for r in T.cut_posteriors(spark.createDataFrame(x, schema)).collect()} for x in (rows, rows + other))
+    assert all(beside[i] == c for i, c in alone.items())
