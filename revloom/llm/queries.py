@@ -38,4 +38,12 @@ ORACLE_SQL = {
       g AS (SELECT DISTINCT item_id, hash(list_slice(w, k, k + 11)) AS h, list_slice(w, k, k + 11) AS s FROM i, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS k)),
       x AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)
       SELECT DISTINCT doc_id, item_id FROM x JOIN g ON g.h = hash(list_slice(w, k, k + 11)) AND g.s = list_slice(w, k, k + 11)""",
+    "p7_near": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+      i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+      g AS (SELECT item_id, k, list_slice(w, k, k + 5) AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS k FROM i)),
+      x AS (SELECT doc_id, k, list_slice(w, k, k + 5) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS k FROM d)),
+      m AS (SELECT DISTINCT doc_id, item_id, x.k - g.k AS shift, g.k AS place FROM x JOIN g ON x.s = g.s),
+      b AS (SELECT doc_id, item_id, floor(shift / 8.0) - unnest([0, 1]) AS band, place FROM m),
+      c AS (SELECT doc_id, item_id, band, count(DISTINCT word) AS n FROM (SELECT doc_id, item_id, band, place + unnest(range(6)) AS word FROM b) GROUP BY 1, 2, 3)
+      SELECT doc_id, item_id, max(n) AS near_words FROM c GROUP BY 1, 2 HAVING max(n) >= 12""",
 }
