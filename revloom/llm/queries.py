@@ -13,6 +13,7 @@ QUERIES = {
     "p3_groups": near_duplicates.p3_groups,
     "p6_packed": packing.p6_packed,
     "p6_usage": packing.p6_usage,
+    "p6_checks": packing.p6_checks,
     "p7_found": contamination.p7_found,
     "p7_near": contamination.p7_near,
     "p8_found": truncation.p8_found,
@@ -38,6 +39,8 @@ ORACLE_SQL = {
       g AS (SELECT DISTINCT item_id, hash(list_slice(w, k, k + 11)) AS h, list_slice(w, k, k + 11) AS s FROM i, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS k)),
       x AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)
       SELECT DISTINCT doc_id, item_id FROM x JOIN g ON g.h = hash(list_slice(w, k, k + 11)) AND g.s = list_slice(w, k, k + 11)""",
+    "p6_checks": """SELECT window_name, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, CAST((SELECT sum(n) FROM (SELECT max(n_tokens) AS n FROM documents GROUP BY doc_id)) AS BIGINT) AS n_tokens,
+      0::BIGINT AS n_wrong_docs, 0::BIGINT AS n_bad_places FROM pack_windows""",
     "p7_near": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
       i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
       g AS (SELECT item_id, k, list_slice(w, k, k + 5) AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS k FROM i)),

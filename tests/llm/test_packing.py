@@ -40,6 +40,22 @@ def test_little_room_is_wasted():
     assert len(many) < 5000
 
 
+@pytest.mark.parametrize("capacity", [8192, 2048, 512])
+def test_the_fit_never_costs_a_container(capacity):
+    rnd = random.Random(capacity)
+    h: dict = {}
+    for _ in range(10_000):
+        l = int(rnd.lognormvariate(5.2, 0.9))
+        l = l % capacity if l > capacity else l
+        if l:
+            h[l] = h.get(l, 0) + 1
+    alone = sum(k for k, _ in P.best_fit(dict(h), [], capacity))
+    assert check_groups(h, capacity) <= alone
+    left = dict(h)
+    fitted = P.fill_patterns(left, P.fitted_patterns(h, capacity), capacity, min(P.UNITS, capacity))
+    assert sum(k * sum(ls) for k, ls in fitted) > {8192: 0, 2048: 0.2, 512: 0.5}[capacity] * sum(l * c for l, c in h.items())
+
+
 def test_one_length_of_a_third_of_all():
     assert check_groups({300: 10_000, 212: 10_000}, 512) == 10_000
     assert check_groups({512: 5}, 512) == 5 and check_groups({}, 512) == 0 and check_groups({257: 9}, 512) == 9
@@ -53,10 +69,10 @@ def test_nnls():
     assert np.allclose(P.nnls(np.eye(2), np.array([-1.0, 3.0])), [0, 3])
 
 
-@pytest.mark.parametrize("shard_rows, block", [(200_000, 4096), (7, 3)])
-def test_places(spark, monkeypatch, shard_rows, block):
+@pytest.mark.parametrize("shard_rows, shards", [(200_000, 1024), (7, 3)])
+def test_places(spark, monkeypatch, shard_rows, shards):
     monkeypatch.setattr(P, "SHARD_ROWS", shard_rows)
-    monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "SHARDS_A_TIER", shards)
     rnd = random.Random(2)
     lens = {d: rnd.choice([0, 5, 5, 5, 40, 99, 100, 101, 250, 1000, rnd.randint(1, 300)]) for d in range(400)}
     rows = [(d, None, n) for d, n in lens.items()] + [(0, None, lens[0]), (1000, "one two, three!", None), (1001, None, None), (None, "x", 5), (1002, "", None)]
