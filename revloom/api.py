@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +12,7 @@ from revloom.errors import InvalidInput, NoData
 from revloom.operators.ordering import with_positions
 from revloom.operators.validation import validate_medium
 from revloom.plans import compile as compiling, ingest as ingesting, link as linking, retrieve
-from revloom.sources.rest import ForgePages
+from revloom.sources.rest import ForgePages, fetch_files
 from revloom.sources.store import Store, catalog
 
 CURSOR_COLUMNS = "repo string, ingest_at timestamp, link_at timestamp, compile_at timestamp"
@@ -32,16 +32,20 @@ class Engine:
         return Store(self.spark, self.root, slug)
 
     def repos(self) -> list[str]:
-        return [s for s in catalog(self.root) if not self.allowed or s in self.allowed]
+        return [s for s in catalog(self.spark, self.root) if not self.allowed or s in self.allowed]
 
-    def ingest(self, slug: str, max_prs: int = 200, **options: str) -> dict:
+    def ingest(self, slug: str, max_prs: int | None = None, on_ingested: Callable[[int], None] | None = None, **options: str) -> dict:
         """Read merged pull requests after the cursor, their comments and the files these are on.
 
-        All is fetched before anything is stored, and the cursor moves only after all is written.
+        All is fetched before anything is stored, and the cursor moves only after all is written, pull
+        request by pull request, oldest first; ``on_ingested`` hears of each. Where no limit is given
+        the repository's settings have one, and where there is no cursor, a first day.
         """
         store = self.store(slug)
         self.spark.dataSource.register(ForgePages)
-        cursor = store.cursors().get("ingest_at")
+        settings = store.config()
+        max_prs = max_prs or settings.max_prs
+        cursor = store.cursors().get("ingest_at") or settings.since
         reader = self.spark.read.format("forge_pages").options(repo=slug, max_prs=str(max_prs), **options)
         source = (reader.option("since", cursor) if cursor else reader).option("kind", "pulls").load()
         pulls = ingesting.pull_rows(source).withColumn("repo", F.lit(slug))
@@ -52,13 +56,7 @@ class Engine:
         comments = self.spark.read.format("forge_pages").options(repo=slug, kind="comments", numbers=",".join(map(str, numbers)), **options).load()
         store.write("incoming_comments", ingesting.comment_rows(comments).withColumn("repo", F.lit(slug)))
         rows = store.read("incoming_comments")
-        # The places go to a file, one after the other; only the file's name is an option.
-        places = store.path("incoming_places.json")
-        with open(places, "w", encoding="utf-8") as f:
-            for i, r in enumerate(ingesting.files_of(pulls, rows).toLocalIterator()):
-                f.write(("[" if i == 0 else ",") + json.dumps([r.commit_ref, r.path]))
-            f.write("[]" if f.tell() == 0 else "]")
-        store.write("incoming_files", self.spark.read.format("forge_pages").options(repo=slug, kind="contents", files=places, **options).load())
+        store.write("incoming_files", fetch_files(ingesting.files_of(pulls, rows), {"repo": slug, **options}))
         files = store.read("incoming_files")
         blobs = ingesting.blob_rows(files).withColumn("sha", F.lower(F.trim("sha"))).withColumn("repo", F.lit(slug))
         index = ingesting.index_entries(files).withColumn("repo", F.lit(slug))
@@ -67,12 +65,14 @@ class Engine:
             stored = store.read(name) if store.exists(name) else new.limit(0)
             counts[name], counts[f"{name}_new"] = ingesting.counters(stored, new, key).first()
             store.write(name, ingesting.upsert(stored, new, key)[0])
-        last = ingesting.watermark(pulls).first()
-        if last is not None:
-            store.set_cursors(ingest_at=last.merged_at.strftime("%Y-%m-%dT%H:%M:%SZ"), ingest_number=last.number)
+        # At most ``max_prs`` rows.
+        for r in ingesting.oldest_first(pulls.select("merged_at", "number")).toLocalIterator():
+            store.set_cursors(ingest_at=r.merged_at.strftime("%Y-%m-%dT%H:%M:%SZ"), ingest_number=r.number)
+            if on_ingested:
+                on_ingested(r.number)
         return {k: v or 0 for k, v in counts.items()}
 
-    def link(self, slug: str, scorer=None) -> dict:
+    def link(self, slug: str, scorer=None, extra_bots: list[str] | None = None) -> dict:
         """Link all stored comments; tables written by ``ingest`` are used before raw files.
 
         ``scorer`` judges links of medium confidence, as ``operators.validation`` says.
@@ -89,7 +89,7 @@ class Engine:
             index = store.read("blob_index").select("repo", "commit_ref", "path", "sha", "pos").unionByName(index.withColumn("pos", F.col("pos") + 1))
         if comments.isEmpty():
             raise NoData(f"{slug} has no comments")
-        episodes, discards = linking.link_comments(comments, prs, index, blobs)
+        episodes, discards = linking.link_comments(comments, prs, index, blobs, extra_bots)
         if scorer is not None:
             episodes = validate_medium(episodes, scorer)
         store.write("episodes", with_positions(episodes.withColumn("__c", F.expr("comment_id collate UNICODE")), ["pr_number", "__c", "comment_id"]).drop("__c"))
@@ -100,8 +100,7 @@ class Engine:
 
     def compile(self, slug: str, min_support: int | None = None, allow_single_high: bool | None = None) -> dict:
         store = self.store(slug)
-        owner, name = C.repo_slug(slug)
-        settings = C.resolve(C.RepoConfig(owner, name))
+        settings = C.resolve(store.config())
         at = self.now()
         episodes = store.read("episodes")
         least = min_support or settings.min_support

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 from dataclasses import dataclass, field, replace
 
@@ -37,15 +38,31 @@ def repo_slug(text: str) -> tuple[str, str]:
 def scoped_path(root: str, slug: str, *segments: str) -> str:
     """A path below the folder of one repository; anything that would leave it is refused."""
     owner, name = repo_slug(slug)
-    base = os.path.abspath(os.path.join(root, "repos", owner, name))
+    base = posixpath.join(root, "repos", owner, name) if "://" in root else os.path.abspath(os.path.join(root, "repos", owner, name))
     if any("\x00" in s or os.path.isabs(s) or ".." in s.split("/") for s in segments):
         raise InvalidInput("unsafe path")
-    path = os.path.abspath(os.path.join(base, *segments))
-    if path != base and not path.startswith(base + os.sep):
+    path = posixpath.join(base, *segments)
+    if path != base and not path.startswith(base + "/"):
         raise InvalidInput("unsafe path")
     return path
 
 
+def config_of(owner: str, name: str, said: dict) -> RepoConfig:
+    """Settings from the object of a config file; what it leaves out, or has of another kind, keeps its default."""
+    part = lambda k: said[k] if isinstance(said.get(k), dict) else {}
+    backfill, compiling, paths = part("backfill"), part("compile"), part("paths")
+    values = {
+        "default_branch": said.get("defaultBranch"), "max_prs": backfill.get("maxPrs"), "since": backfill.get("since"), "min_support": compiling.get("minSupport"),
+        "allow_single_high_confidence": compiling.get("allowSingleHighConfidence"), "include": paths.get("include"), "exclude": paths.get("exclude"),
+    }
+    default = RepoConfig(owner, name)
+    fits = {k: v for k, v in values.items() if v is not None and (isinstance(v, str) if k == "since" else type(v) is type(getattr(default, k)))}
+    for k in ("max_prs", "min_support"):
+        if fits.get(k, 1) < 1:
+            raise InvalidInput(f"{k} must be a positive whole number")
+    return replace(default, **fits)
+
+
 def allow_list(text: str | None) -> set[str] | None:
     found = {x.strip() for x in (text or "").split(",") if x.strip()}
     for slug in found:

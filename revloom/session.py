@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revloom.errors import InvalidInput
+
 
 def build_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings all operators expect (UTC, AQE, Arrow)."""
@@ -27,26 +29,38 @@ def build_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``. Only a local session, whose tasks run in this
+    process, may leave it unset; it gets a temporary folder. Elsewhere a folder of one machine would
+    lose data, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             found = current.get()
-        else:
+        elif is_local(spark.sparkContext.master):
             found = "file://" + tempfile.mkdtemp(prefix="revloom-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise InvalidInput("spark.checkpoint.dir must name a folder that all executors share")
     return found.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/revloom/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder, which is removed when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
     return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 

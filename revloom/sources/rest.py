@@ -3,10 +3,10 @@
 ``spark.dataSource.register(ForgePages)``, then
 ``spark.read.format("forge_pages").schema(S).option("kind", "pulls").option("repo", "a/b").load()``.
 
-Options: kind (pulls, comments or contents), repo, path (a folder of recorded pages: nothing is
+Options: kind (pulls or comments), repo, path (a folder of recorded pages: nothing is
 fetched), url (the interface's address, without path), token, max_prs, since, retries, numbers (the
-pull requests whose comments to read, one partition each), files (a JSON file with the [ref, path]
-pairs of the contents to read, at most ``PAGE`` to a partition; a file that is not there gives no row).
+pull requests whose comments to read, one partition each). Files at a ref are fetched by
+``fetch_files``, from a table of places.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import urllib.error
 import urllib.parse
 import urllib.request
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from revloom.errors import AccessFailed
@@ -109,6 +111,26 @@ def file_at(o: dict, ref: str, path: str) -> dict | None:
     return row
 
 
+def fetch_files(places: DataFrame, options: dict[str, str]) -> DataFrame:
+    """The contents answers for ``places`` (commit_ref, path), fetched where the rows lie; a file that is not there gives no row."""
+    from revloom.plans.ingest import FILE_SCHEMA
+
+    names = [f.split()[0] for f in FILE_SCHEMA.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for ref, path in zip(b.column("commit_ref").to_pylist(), b.column("path").to_pylist()):
+                row = file_at(options, ref, path)
+                if row is not None:
+                    row = row | {"commit_ref": ref, "asked_path": path}
+                    rows.append([row.get(n) if n == "size" or row.get(n) is None else str(row.get(n)) for n in names])
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "size" else pa.string()) for c, n in zip(cols, names)], names=names)
+
+    return places.select("commit_ref", "path").mapInArrow(run, FILE_SCHEMA)
+
+
 def is_merged(row: dict, since: str | None) -> bool:
     return not row.get("draft") and bool(row.get("merged_at")) and bool(row.get("merge_commit_sha")) and (since is None or row["merged_at"] > since)
 
@@ -119,9 +141,9 @@ class ForgePages(DataSource):
         return "forge_pages"
 
     def schema(self):
-        from revloom.plans.ingest import COMMENT_SCHEMA, FILE_SCHEMA, PULL_SCHEMA
+        from revloom.plans.ingest import COMMENT_SCHEMA, PULL_SCHEMA
 
-        return {"pulls": PULL_SCHEMA, "contents": FILE_SCHEMA}.get(self.options.get("kind", "pulls"), COMMENT_SCHEMA)
+        return PULL_SCHEMA if self.options.get("kind", "pulls") == "pulls" else COMMENT_SCHEMA
 
     def reader(self, schema):
         return _Reader(schema, dict(self.options))
@@ -134,22 +156,12 @@ class _Reader(DataSourceReader):
     def partitions(self):
         if self.options.get("kind", "pulls") == "pulls":
             return [InputPartition(None)]
-        if self.options["kind"] == "contents":
-            with open(self.options["files"], encoding="utf-8") as f:
-                files = json.load(f)
-            return [InputPartition(files[i : i + PAGE]) for i in range(0, len(files), PAGE)]
         return [InputPartition(int(n)) for n in self.options.get("numbers", "").split(",") if n.strip()]
 
     def read(self, partition):
         if partition is None:  # no pull request, no comments
             return
         o = self.options
-        if o.get("kind") == "contents":
-            for ref, path in partition.value:
-                row = file_at(o, ref, path)
-                if row is not None:
-                    yield _shaped(row | {"commit_ref": ref, "asked_path": path}, self.schema)
-            return
         number = partition.value
         if o.get("path"):
             get = recorded(o["path"], "pulls" if number is None else f"comments/{number}")

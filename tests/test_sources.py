@@ -82,11 +82,15 @@ def test_folders(spark, tmp_path):
     d.mkdir()
     (d / "1.json").write_text(json.dumps({"id": "p", "number": 1, "mergedAt": "2025-01-01T00:00:00Z", "unknown": 5}))
     (d / "2.json").write_text("{not json")
-    assert [(r.id, r.number, r.merged_at) for r in store.read_json_folder(spark, str(d), store.PR_JSON).collect()] == [("p", 1, datetime(2025, 1, 1))]
+    with pytest.raises(Exception, match="2.json|[Mm]alformed"):
+        store.read_json_folder(spark, str(d), store.PR_JSON).collect()
     assert {(r.file, r.problem) for r in store.violations(spark, str(d), store.PR_JSON, ["id", "title"]).collect()} == {("1.json", "title is missing"), ("2.json", "not readable")}
+    (d / "2.json").unlink()
+    assert [(r.id, r.number, r.merged_at) for r in store.read_json_folder(spark, str(d), store.PR_JSON).collect()] == [("p", 1, datetime(2025, 1, 1))]
     (tmp_path / "blobs").mkdir()
     (tmp_path / "blobs" / "abc.txt").write_text("l1\nl2\n")
     assert [tuple(r) for r in store.read_blobs(spark, str(tmp_path / "blobs")).collect()] == [("abc", "l1\nl2\n")]
+    assert [tuple(r) for r in store.blob_shas(spark, str(tmp_path / "blobs")).collect()] == [("abc",)]
     (tmp_path / "i.json").write_text(json.dumps({"files": [{"ref": " r ", "path": "p", "sha": "s"}, {"ref": "", "path": "p", "sha": "s"}, 5]}))
     assert [tuple(r) for r in store.read_blob_index(spark, str(tmp_path / "i.json")).collect()] == [("r", "p", "s", 0)]
     (tmp_path / "i.json").write_text("nonsense")
@@ -202,3 +206,37 @@ def test_what_is_no_file_stops_ingest(spark, pages, tmp_path_factory):
         json.dump(contents("x", "s", encoding="none"), f)
     with pytest.raises(AccessFailed):
         rest.file_at(asked, "r", "a")
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    class Unset:
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(InvalidInput, match="spark.checkpoint.dir"):
+        session.shared_dir(Unset)
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]")
+
+
+def test_versions(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path), "a/b")
+    for n in range(3):
+        s.write("t", spark.range(n))
+    assert s.read("t").count() == 2 and len(os.listdir(s.path("t"))) == 2
+    os.makedirs(s.path("t", "3"))  # a write that broke off
+    assert s.read("t").count() == 2
+    s.write("t", s.read("t").limit(1))
+    assert s.read("t").count() == 1
+    s.set_cursors(a=1)
+    s.set_cursors(b=2)
+    assert s.cursors() == {"a": 1, "b": 2}
+    with open(s.path("config.json"), "w") as f:
+        json.dump({"compile": {"minSupport": 3, "allowSingleHighConfidence": True}, "backfill": {"maxPrs": 7, "since": None}, "paths": 4}, f)
+    got = s.config()
+    assert (got.min_support, got.allow_single_high_confidence, got.max_prs, got.since, got.include) == (3, True, 7, None, ["**/*"])
