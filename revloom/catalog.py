@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from revloom.functions import comments as C, text as T
+from revloom.functions.message_ids import id_pairs, with_message_key
 from revloom.operators import clustering, matching
 from revloom.operators.linking import line_hunks
 from revloom.operators.ordering import with_positions
@@ -296,17 +297,25 @@ def edit_hunks(spark, sf):
     return e.select("id", F.explode(line_hunks("rejected.text", "accepted.text")).alias("h")).select("id", "h.*")
 
 
+def _messages(spark, sf):
+    """The kept review comments that were not withdrawn, one row per message, named by its node id."""
+    rows = with_message_key(_t(spark, sf, "review_comments").filter("deleted_at is null"), "id", id_pairs(_t(spark, sf, "pull_review_comments"))).filter("message_key is not null")
+    columns = ["repo", "pr_number", "path", "body", "author", "diff_hunk", "line", "original_line", "side", "commit_id"]
+    return rows.groupBy("message_key").agg(F.min(F.struct("delivery_id", *columns)).alias("m")).select(F.col("message_key").alias("id"), *(f"m.{c}" for c in columns))
+
+
 def _linked(spark, sf):
-    c = _t(spark, sf, "review_comments").filter("deleted_at is null").dropDuplicates(["id"])
     prs = _prs(spark, sf).select("repo", "number", "merged_at", "merge_commit_sha", "id")
     index = _t(spark, sf, "blob_index").withColumn("pos", F.col("entry_id"))
     blobs = ingest.blob_rows(_t(spark, sf, "contents").withColumnRenamed("entry_type", "type"))
     repos = _t(spark, sf, "contents").select("repo", "sha").distinct()
-    return link.link_comments(c, prs, index, repos.join(blobs, "sha").select("repo", "sha", "text"))
+    return link.link_comments(_messages(spark, sf), prs, index, repos.join(blobs, "sha").select("repo", "sha", "text"))
 
 
 def link_episodes(spark, sf):
-    return _linked(spark, sf)[0].select("id", "repo", "comment_id", "link_confidence", "link_reason")
+    e = _linked(spark, sf)[0]
+    span = [F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("rejected", "accepted") for f in ("start_line", "end_line")]
+    return e.select("id", "repo", "comment_id", "pr_number", "file_language", "reviewer", "link_confidence", "link_reason", *span, F.md5("rejected.text").alias("rejected_text"), F.md5("accepted.text").alias("accepted_text"), F.md5("rejected.normalized").alias("rejected_normal"), F.md5("comment_body").alias("body"))
 
 
 def link_discards(spark, sf):

@@ -7,6 +7,7 @@ rest of the decision reads its result; texts cross to Python once.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -62,6 +63,12 @@ def before_text(comment_text, tip_text, hunk):
     return None, "none"
 
 
+@lru_cache(maxsize=64)
+def _changes(before, after):
+    """The changes between two texts; comments on one pair of versions come one after the other and share them."""
+    return tuple(edit_hunks(file_lines(before), file_lines(after)))
+
+
 def suggestion_of(body):
     found = _SUGGESTION.search(body or "")
     return re.sub(r"\r?\n$", "", found[1]) if found else None
@@ -97,7 +104,7 @@ def accepted_fix(path, body, rejected, before, after, after_sha):
         span = applied_suggestion(path, sha, new, suggestion, None) if suggestion is not None else None
         return (span, "high", "suggestion_block_applied") if span else (None, "none", "no_rejected_locus")
     old = file_lines(before)
-    changes = edit_hunks(old, new) if before != after else []
+    changes = list(_changes(before, after)) if before != after else []
     if not changes:
         return None, "none", "no_change"
     if suggestion is not None:

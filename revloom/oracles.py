@@ -77,8 +77,10 @@ def plain(c: str) -> str:
     return trim(sub(sub(sub(x, r"[\x{FE0F}\x{200D}]", ""), r"[^a-z0-9+\s]", " "), r"\s+", " "))
 
 
-_ACT = f"""
-b AS (SELECT delivery_id, {trim("coalesce(body, '')")} AS b, lower({trim("gh_user.login")}) AS a FROM pull_review_comments),
+def acting(rows: str, author: str) -> str:
+    """``act`` (delivery_id, discard_reason) of the comments in ``rows``."""
+    return f"""
+b AS (SELECT delivery_id, {trim("coalesce(body, '')")} AS b, lower({trim(author)}) AS a FROM {rows}),
 c AS (SELECT *, {plain("b")} AS p, {bare("b")} AS e FROM b),
 d AS (SELECT *, {trim(sub("p", r"^(?:nits|nit)\s*", ""))} AS rest, {trim(sub(sub("lower(e)", r"[^a-z0-9\s]", " "), r"\s+", " "))} AS nit FROM c),
 act AS (SELECT delivery_id, CASE
@@ -89,6 +91,9 @@ act AS (SELECT delivery_id, CASE
   WHEN regexp_matches(p, '^nits?\\b') AND (rest = '' OR rest IN {among(EMPTY_NITS)} OR nit IN ('nit', 'nits')) THEN 'non_actionable_nit'
   WHEN NOT contains(b, '```') AND length(b) < 12 THEN 'too_short' END AS discard_reason FROM d)"""
 
+
+_ACT = acting("pull_review_comments", "gh_user.login")
+
 _TITLE = f"list_filter(regexp_split_to_array({sub('lower(%s)', r'[^a-z0-9' + chr(92) + r's_-]', ' ')}, '\\s+'), lambda w : length(w) >= 3 AND w NOT IN {among(TITLE_STOP_WORDS)})"
 
 _SEG = "coalesce(list_filter(string_split(path, '/'), lambda s : s <> '')[1], '')"

@@ -36,7 +36,7 @@ def link_comments(comments: DataFrame, prs: DataFrame, index: DataFrame, blobs:
     """
     comments = comments.select("repo", "id", "pr_number", "path", "body", "author", "diff_hunk", "line", "original_line", "side", "commit_id")
     told = comments.withColumn("discard_reason", discard_reason(F.col("body"), F.col("author"), extra_bots=extra_bots))
-    merged = prs.groupBy("repo", F.col("number").alias("pr_number")).agg(F.max_by(F.struct("merged_at", "merge_commit_sha"), "id").alias("pr"))
+    merged = prs.groupBy("repo", F.col("number").alias("pr_number")).agg(F.max(F.struct("id", "merged_at", "merge_commit_sha")).alias("pr"))
     told = materialize(told.join(merged, ["repo", "pr_number"], "left"), "told")
     reason = F.when(F.col("discard_reason").isNotNull(), F.col("discard_reason")).when(F.col("pr").isNull(), "missing_pull_request")
     early = told.withColumn("discard_reason", reason)
@@ -44,12 +44,18 @@ def link_comments(comments: DataFrame, prs: DataFrame, index: DataFrame, blobs:
     hits = first_index_hits(index)
     text = blobs.select("repo", "sha", "text")
 
-    def role(df: DataFrame, ref, name: str) -> DataFrame:
+    def sha_of(df: DataFrame, ref, name: str) -> DataFrame:
         shas = hits.select("repo", F.col("commit_ref").alias("__ref"), "path", F.col("sha").alias(f"{name}_sha"))
-        texts = text.select("repo", F.col("sha").alias(f"{name}_sha"), F.col("text").alias(f"{name}_text"))
-        return df.withColumn("__ref", ref).join(shas, ["repo", "__ref", "path"], "left").join(texts, ["repo", f"{name}_sha"], "left").drop("__ref")
+        return df.withColumn("__ref", ref).join(shas, ["repo", "__ref", "path"], "left").drop("__ref")
 
-    placed = role(role(kept, F.col("pr.merge_commit_sha"), "tip"), F.col("commit_id"), "comment")
+    def text_of(df: DataFrame, name: str) -> DataFrame:
+        return df.join(text.select("repo", F.col("sha").alias(f"{name}_sha"), F.col("text").alias(f"{name}_text")), ["repo", f"{name}_sha"], "left")
+
+    # Texts join each pair of file versions once; comments meet their pair, and both texts, last.
+    named = materialize(sha_of(sha_of(kept, F.col("pr.merge_commit_sha"), "tip"), F.col("commit_id"), "comment"), "named")
+    pair = {"__tip": F.coalesce("tip_sha", F.lit("")), "__comment": F.coalesce("comment_sha", F.lit(""))}
+    pairs = text_of(text_of(named.select("repo", "tip_sha", "comment_sha").distinct(), "tip"), "comment")
+    placed = named.withColumns(pair).drop("tip_sha", "comment_sha").join(pairs.withColumns(pair), ["repo", *pair])
     placed = placed.join(only_blobs(blobs), "repo", "left")
     use_only = F.col("tip_text").isNull() & F.col("only_text").isNotNull()
     placed = placed.withColumn("tip_sha", F.when(use_only, F.col("only_sha")).otherwise(F.col("tip_sha"))).withColumn("tip_text", F.coalesce("tip_text", "only_text"))

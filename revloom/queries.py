@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revloom import catalog, oracles
+from revloom import catalog, oracles, oracles_link
 from revloom.operators import dedup, references
 
 QUERIES = catalog.QUERIES | {
@@ -45,7 +45,7 @@ broken AS (
   AND NOT EXISTS (SELECT 1 FROM contents t WHERE lower(trim(t.sha)) = lower(trim(b.sha)) AND t.fetched_at <= b.indexed_at AND (t.deleted_at IS NULL OR t.deleted_at > b.indexed_at)))
 """
 
-ORACLE_SQL = oracles.SQL | {
+ORACLE_SQL = oracles.SQL | oracles_link.SQL | {
     "p4_found": f"WITH {_P4_SURPLUS} SELECT * FROM surplus",
     "p4_copies": f"""WITH {_P4_SURPLUS},
       a AS (SELECT 'pull_review_comments' AS src_table, delivery_id, coalesce(strftime(received_at, '%Y-%m'), 'none') AS "month" FROM pull_review_comments
