@@ -31,9 +31,13 @@ def py_leaders(forms, t=0.72):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_leaders_match_the_sequential_walk(spark, seed):
+@pytest.mark.parametrize("seed, local", [(0, None), (1, None), (2, 3), (3, 0)])
+def test_leaders_match_the_sequential_walk(spark, monkeypatch, seed, local):
     rnd = random.Random(seed)
+    if local is not None:
+        monkeypatch.setattr(clustering, "LOCAL_EDGES", local)
+        monkeypatch.setattr(clustering, "LOCAL_FORMS", 2)
+        monkeypatch.setattr(clustering, "CANDIDATES", 2)
     words = [f"name{i}" for i in range(9)]
     data = []
     for b in ("x", "y"):
@@ -55,6 +59,13 @@ def test_leaders_match_the_sequential_walk(spark, seed):
         assert mean(r.medoid) == pytest.approx(max(map(mean, pos)))
 
 
+def test_a_long_chain(spark):
+    chain = [("x", i, i + 1) for i in range(1500)] + [("y", 0, 5)]
+    fs = spark.createDataFrame([("x", i) for i in range(1501)] + [("y", 0), ("y", 5), ("y", 7)], "bucket string, first long")
+    got = {(r.bucket, r.first): r.leader for r in clustering.leaders(fs, spark.createDataFrame(chain, "bucket string, a long, b long")).collect()}
+    assert got == {("x", i): i - i % 2 for i in range(1501)} | {("y", 0): 0, ("y", 5): 0, ("y", 7): 7}
+
+
 def test_clusters_of_nothing(spark):
     empty = spark.createDataFrame([], "bucket string, pos long, form string")
     assert clustering.clusters(empty).count() == 0
