@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from revloom.functions import text as T
 
@@ -13,11 +13,6 @@ def _bare(prefix: Column) -> Column:
     return F.regexp_replace(prefix, "/$", "")
 
 
-def in_scope(path: Column, prefixes: Column) -> Column:
-    """Whether a file is one of the prefixes or lies under one."""
-    return F.exists(prefixes, lambda p: (path == _bare(p)) | path.startswith(F.concat(_bare(p), F.lit("/"))))
-
-
 def depth_of_scope(path: Column, prefixes: Column) -> Column:
     """How specific the deepest prefix is that holds the file: a quarter per folder, at most one; zero for none."""
     depth = lambda p: F.when((path == _bare(p)) | path.startswith(F.concat(_bare(p), F.lit("/"))), F.least(F.lit(1.0), F.size(F.filter(F.split(p, "/"), lambda s: s != "")) / 4.0)).otherwise(0.0)
@@ -43,23 +38,24 @@ def with_latest_evidence(recipes: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def score_matches(hunks: DataFrame, recipes: DataFrame, as_of: Column, within: tuple[str, ...] = ()) -> DataFrame:
-    """Every pair of a hunk and a recipe that fits it, with its score.
+    """(hunk_pos, recipe_id, path, start_line, end_line, signal, score, recipe_order) of every hunk and recipe that fit.
 
     hunks: hunk_pos, path, snippet, start_line, end_line. recipes: with ``latest``. ``within`` names
-    columns both sides must agree on, as the repository. Pairs meet on the recipe's prefixes, which are equal to one of the file's own ancestors, so no cross join is
-    made; both sides are normalised once, before they meet. A pair needs some signal, and code
-    that already reads like the accepted form is left alone.
+    columns both sides must agree on, as the repository. Keys alone meet first, on the recipe's
+    prefixes, which are equal to one of the file's own ancestors, so no cross join is made; then each
+    side's names and the snippet are fetched once. A pair needs some signal, and code that already
+    reads like the accepted form is left alone.
     """
     top = recipes.agg(F.greatest(F.lit(1), F.coalesce(F.max("support"), F.lit(1))).alias("max_support"))
     segs = F.split("path", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda i: F.array_join(F.slice(segs, F.lit(1), i), "/"))
-    h = hunks.withColumn("hunk_names", T.name_set(T.normalize_cluster(F.col("snippet")))).withColumn("scope", F.explode(ancestors))
-    r = (
-        recipes.withColumn("before_names", T.name_set(T.normalize_cluster(F.col("before"))))
-        .withColumn("after_names", T.name_set(T.normalize_cluster(F.col("after"))))
-        .withColumn("scope", F.explode(F.array_distinct(F.transform("path_prefixes", _bare))))
-    )
-    met = h.join(r, [*within, "scope"]).dropDuplicates(["hunk_pos", "recipe_id"]).withColumn("max_support", top.scalar())
+    h_scopes = hunks.select("hunk_pos", *within, F.explode(ancestors).alias("scope"))
+    r_scopes = recipes.select("recipe_id", *within, F.explode(F.array_distinct(F.transform("path_prefixes", _bare))).alias("scope"))
+    pairs = h_scopes.join(r_scopes, [*within, "scope"]).select("hunk_pos", "recipe_id").distinct()
+    h = hunks.select("hunk_pos", "path", "snippet", "start_line", "end_line", T.name_set(T.normalize_cluster(F.col("snippet"))).alias("hunk_names"))
+    names = [T.name_set(T.normalize_cluster(F.col(c))).alias(f"{c}_names") for c in ("before", "after")]
+    r = recipes.select("recipe_id", "support", "avg_link_confidence", "path_prefixes", "latest", "before_signals", "recipe_order", *names)
+    met = pairs.join(r, "recipe_id").join(h, "hunk_pos").withColumn("max_support", top.scalar())
     signal = signal_strength(F.col("snippet"), F.col("before_signals"))
     before, after = T.jaccard(F.col("hunk_names"), F.col("before_names")), T.jaccard(F.col("hunk_names"), F.col("after_names"))
     staged = met.withColumn("before_sim", before).withColumn("after_sim", after).withColumn("signal", F.greatest(signal, F.col("before_sim")))
@@ -71,13 +67,14 @@ def score_matches(hunks: DataFrame, recipes: DataFrame, as_of: Column, within: t
         + F.lit(0.1) * recency(F.col("latest"), as_of)
         + F.lit(0.1) * F.col("signal")
     )
-    return fit.withColumn("score", score)
+    return fit.select("hunk_pos", "recipe_id", "path", "start_line", "end_line", "signal", score.alias("score"), "recipe_order")
 
 
 def best_per_recipe(matches: DataFrame) -> DataFrame:
     """Of each recipe the match of the highest score, the first hunk at a tie; with ``first_seen``, the first hunk it fits."""
-    best = W.partitionBy("recipe_id").orderBy(F.desc("score"), "hunk_pos")
-    return matches.withColumn("first_seen", F.min("hunk_pos").over(W.partitionBy("recipe_id"))).withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r")
+    shown = ["path", "start_line", "end_line", "signal", "recipe_order"]
+    best = F.max(F.struct("score", (-F.col("hunk_pos")).alias("neg"), "hunk_pos", *shown)).alias("best")
+    return matches.groupBy("recipe_id").agg(best, F.min("hunk_pos").alias("first_seen")).select("recipe_id", "first_seen", "best.score", "best.hunk_pos", *(f"best.{c}" for c in shown))
 
 
 def unified_patch(path: Column, start_line: Column, before: Column, after: Column) -> Column:

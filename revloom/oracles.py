@@ -198,7 +198,7 @@ SQL = {
     "evidence": f"""{_RECIPE}, n AS (SELECT recipe_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS place FROM rid)
       SELECT recipe_id, n.id AS episode_id, place::INTEGER AS place, pr_number, 'https://github.com/' || repo || '/pull/' || pr_number || '#discussion_' || comment_id AS comment_url FROM n JOIN ep ON ep.id = n.id""",
     "recipe_texts": f"""{_MEDOID},
-      kc AS (SELECT bucket, leader, w, count(*) AS n FROM (SELECT bucket, leader, unnest({_TITLE % 'comment_body'}) AS w FROM led) GROUP BY 1, 2, 3),
+      kc AS (SELECT bucket, leader, w, count(*) AS n FROM (SELECT bucket, leader, unnest({_TITLE % redact('comment_body')}) AS w FROM led) GROUP BY 1, 2, 3),
       kw AS (SELECT bucket, leader, list(w ORDER BY r) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY bucket, leader ORDER BY n DESC, translate(w, '_-', chr(1) || chr(2))) AS r FROM kc) WHERE r <= 5 GROUP BY 1, 2),
       tx AS (SELECT rt.*, coalesce(kw, []) AS kw, CASE WHEN rtrim({_PREFIX}, '/') = '' THEN 'repo' ELSE rtrim({_PREFIX}, '/') END AS hint FROM rt LEFT JOIN kw ON kw.bucket = rt.bucket AND kw.leader = rt.leader)
       SELECT recipe_id, CASE WHEN len(kw) > 0 THEN upper(substr(kw[1], 1, 1)) || substr(kw[1], 2) || ': ' || hint || ' rewrite (' || support || ' reviews)' ELSE 'Review rewrite in ' || hint || ' (' || support || ' reviews)' END AS title,

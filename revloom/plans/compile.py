@@ -38,7 +38,7 @@ def drop_histogram(episodes: DataFrame) -> DataFrame:
 def title_keywords(members: DataFrame, most: int = 5) -> DataFrame:
     """(cluster keys, keywords): the most frequent title words of the comments of each cluster."""
     by = ["bucket", "leader"]
-    counted = members.select(*by, F.explode(T.title_words(F.col("comment_body"))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+    counted = members.select(*by, F.explode(T.title_words(T.redact(F.col("comment_body")))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), F.expr("word collate UNICODE"), "word"))).filter(F.col("r") <= most)
     return ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("keywords"))
 
@@ -79,21 +79,26 @@ def recipes_of(members: DataFrame, min_support: int = 2, allow_single_high: bool
     """The recipes of clustered episodes."""
     as_of = as_of or datetime(2025, 1, 1)
     by = ["bucket", "leader"]
-    score = T.confidence_score(F.col("link_confidence"))
     segments = F.split("path", "/")
-    first = lambda c: F.struct("pos", F.col(c).alias("v"))
+    labelled = lambda x: F.sum((F.col("link_confidence") == x).cast("bigint")).alias(f"n_{x}")
     told = members.groupBy(*by).agg(
         F.max("repo").alias("repo"),
-        # Lists of a recipe are its evidence; they are as long as its support.
-        F.transform(F.array_sort(F.collect_list(first("id"))), lambda x: x["v"]).alias("episode_ids"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(T.trim(F.col("reviewer")) != "", first("reviewer")))), lambda x: x["v"])).alias("reviewers"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(T.trim(F.col("file_language")) != "", first("file_language")))), lambda x: x["v"])).alias("languages"),
-        # In order, so that the sum of the scores is always added up the same way.
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", score.alias("v")))), lambda x: x["v"]).alias("scores"),
+        # The list of a recipe's episodes is its evidence; it is as long as its support.
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("id").alias("v")))), lambda x: x["v"]).alias("episode_ids"),
+        F.count("*").alias("n"),
+        *map(labelled, ELIGIBLE),
         F.min(segments).alias("low_path"),
         F.max(segments).alias("high_path"),
         F.min(F.struct("pos", "path"))["path"].alias("first_path"),
     )
+
+    def distinct(column: str, out: str) -> DataFrame:
+        """The values of a cluster in the order of their first members."""
+        first = members.filter(T.trim(F.col(column)) != "").groupBy(*by, column).agg(F.min("pos").alias("pos"))
+        return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(column).alias("v")))), lambda x: x["v"]).alias(out))
+
+    told = told.join(distinct("reviewer", "reviewers"), by, "left").join(distinct("file_language", "languages"), by, "left")
+    told = told.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("reviewers", "languages")})
     centre = medoids(members.select("bucket", "leader", "form", "pos"))
     medoid = members.select("bucket", F.col("pos").alias("medoid"), F.col("rejected.text").alias("before"), F.col("accepted.text").alias("after"), F.col("link_confidence").alias("medoid_confidence"))
     enough = F.col("support") >= min_support
@@ -108,8 +113,9 @@ def recipes_of(members: DataFrame, min_support: int = 2, allow_single_high: bool
         .join(title_keywords(members), by, "left")
         .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
         .withColumn("path_prefixes", prefix)
-        .withColumn("avg_link_confidence", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores"))
+        .withColumn("avg_link_confidence", sum((F.col(f"n_{x}") * T.confidence_score(F.lit(x)) for x in ELIGIBLE), F.lit(0.0)) / F.col("n"))
     )
+    # The wording of titles and rationales.
     hint = F.regexp_replace(F.coalesce(F.get("path_prefixes", F.lit(0)), F.lit("")), "/$", "")
     hint = F.when(hint == "", "repo").otherwise(hint)
     top = F.col("keywords")[0]
@@ -120,7 +126,7 @@ def recipes_of(members: DataFrame, min_support: int = 2, allow_single_high: bool
         T.recipe_id(F.col("repo"), F.col("episode_ids")).alias("recipe_id"),
         "repo",
         title.alias("title"),
-        F.concat(F.lit("Past reviewers flagged "), phrase, F.lit(" in "), hint, F.lit("; accepted fixes clustered from "), n, F.lit(" linked episode(s).")).alias("rationale"),
+        T.redact(F.concat(F.lit("Past reviewers flagged "), phrase, F.lit(" in "), hint, F.lit("; accepted fixes clustered from "), n, F.lit(" linked episode(s)."))).alias("rationale"),
         "path_prefixes",
         "languages",
         T.redact(F.col("before")).alias("before"),

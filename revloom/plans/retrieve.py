@@ -10,6 +10,7 @@ from revloom.errors import InvalidDiff, NotFound
 from revloom.functions import text as T
 from revloom.functions.diffs import parse_diff
 from revloom.operators import matching as M
+from revloom.session import materialize
 
 LIMIT, MAX_LIMIT = 8, 20
 PAYLOAD_BYTES = 32 * 1024
@@ -53,15 +54,23 @@ def evidence(recipes: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def suggest(hunks: DataFrame, recipes: DataFrame, episodes: DataFrame, as_of: datetime, limit: int | None = None, patch: Column | None = None) -> DataFrame:
     """The best recipes for ``hunks``, one row each with rank, patch and evidence."""
-    scored = M.score_matches(hunks, M.with_latest_evidence(recipes, episodes), F.lit(as_of).cast("timestamp"))
-    best = M.best_per_recipe(scored)
-    ordered = best.orderBy(F.desc("score"), "first_seen", "recipe_order", "recipe_id").limit(limit or LIMIT)
-    ranked = ordered.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "first_seen", "recipe_order", "recipe_id")))  # at most ``limit`` rows
+    order = [F.desc("score"), "first_seen", "recipe_order", "recipe_id"]
+    best = M.best_per_recipe(M.score_matches(hunks, M.with_latest_evidence(recipes, episodes), F.lit(as_of).cast("timestamp"))).orderBy(*order).limit(clamp(limit))
+    # At most ``MAX_LIMIT`` rows, scored once; only they fetch texts.
+    ranked = materialize(best.withColumn("rank", F.row_number().over(W.orderBy(*order))), "ranked").join(recipes.drop("recipe_order"), "recipe_id")
     proof = evidence(ranked.select("recipe_id", "episode_ids"), episodes).groupBy("recipe_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pr_number", "comment_url", "episode_id"))), lambda e: F.struct(e["pr_number"].alias("pr_number"), e["comment_url"].alias("comment_url"), e["episode_id"].alias("episode_id"))).alias("evidence"))
     made = patch if patch is not None else M.unified_patch(F.col("path"), F.col("start_line"), F.col("before"), F.col("after"))
     return ranked.withColumn("patch", made).join(proof, "recipe_id").select("rank", "recipe_id", "score", "path", "start_line", "end_line", "patch", "title", "rationale", "support", T.confidence_label(F.col("avg_link_confidence")).alias("confidence"), "evidence")
 
 
+def warnings(fresh: DataFrame, suggestions: DataFrame | None = None) -> list[str]:
+    """What a caller should know, each once: recipes out of date, or nothing found. ``fresh``: the row of ``freshness``."""
+    said = [r.banner for r in fresh.select("banner").collect() if r.banner]
+    if suggestions is not None and suggestions.isEmpty():
+        said.append("No recipe fits this code.")
+    return list(dict.fromkeys(said))
+
+
 def fits_path(prefixes: Column, query: str | None) -> Column:
     """Whether a recipe's scope and a path prefix lie on one line of folders; true without a query."""
     q = (query or "").strip()
@@ -105,7 +114,7 @@ def list_recipes(recipes: DataFrame, path: str | None = None, language: str | No
     order = [F.desc("support"), F.desc("avg_link_confidence"), F.col("recipe_order"), F.col("recipe_id")]
     matched = recipes.filter(fits_path(F.col("path_prefixes"), path) & fits_language(F.col("languages"), language) & fits_words(words))
     total = matched.agg(F.count("*").alias("total_matched"))
-    shown = within_budget(cards(matched.orderBy(*order).limit(limit or LIMIT)), order)
+    shown = within_budget(cards(matched.orderBy(*order).limit(clamp(limit))), order)
     counted = shown.withColumn("total_matched", total.scalar()).withColumn("n", F.count("*").over(W.partitionBy()))  # at most ``limit`` rows
     return counted.withColumn("truncated", F.col("n") < F.col("total_matched")).drop("n", "recipe_order")
 
@@ -131,6 +140,7 @@ def freshness(cursors: DataFrame, episodes: DataFrame, recipes: DataFrame) -> Da
     """One row per repository of ``cursors`` (repo, ingest_at, link_at, compile_at): whether its recipes are up to date."""
     n_episodes = episodes.groupBy("repo").agg(F.count("*").alias("episode_count"))
     n_recipes = recipes.groupBy("repo").agg(F.count("*").alias("recipe_count"))
+    # The reasons why recipes are out of date.
     reason = (
         F.when(F.col("link_at").isNotNull() & F.col("compile_at").isNull(), "Episodes linked but recipes not compiled since last link.")
         .when(F.col("link_at") > F.col("compile_at"), "Link watermark is newer than last compile; compile again.")
@@ -153,6 +163,14 @@ def preview(recipes: DataFrame, recipe_id: str, path: str, start_line: int | Non
     return one.select("recipe_id", M.unified_patch(F.lit(path), F.lit(start_line).cast("int"), F.col("before"), F.col("after")).alias("patch"))
 
 
+def preview_of(suggestions: DataFrame, recipe_id: str) -> DataFrame:
+    """(recipe_id, path, start_line, end_line, patch): one of ``suggestions`` as it would be applied."""
+    one = suggestions.filter(F.col("recipe_id") == recipe_id)
+    if one.isEmpty():
+        raise NotFound(f"no suggestion of {recipe_id}")
+    return one.select("recipe_id", "path", "start_line", "end_line", "patch")
+
+
 def high_support(suggestions: DataFrame, least: int = 2) -> DataFrame:
     """Suggestions worth showing unasked: enough support and more than low confidence."""
     return suggestions.filter((F.col("support") >= least) & (F.col("confidence") != "low"))
