@@ -13,7 +13,8 @@ from revloom.operators.ordering import with_positions
 from revloom.operators.validation import validate_medium
 from revloom.plans import compile as compiling, ingest as ingesting, link as linking, retrieve
 from revloom.sources.rest import ForgePages, fetch_files
-from revloom.sources.store import Store, catalog
+from revloom.sources.store import Store, by_ids, catalog, index_rows, recipe_index
+from revloom.streaming.merges import run_merges
 
 CURSOR_COLUMNS = "repo string, ingest_at timestamp, link_at timestamp, compile_at timestamp"
 
@@ -94,6 +95,7 @@ class Engine:
             episodes = validate_medium(episodes, scorer)
         store.write("episodes", with_positions(episodes.withColumn("__c", F.expr("comment_id collate UNICODE")), ["pr_number", "__c", "comment_id"]).drop("__c"))
         store.write("discards", discards)
+        store.write("episode_index", index_rows(store.read("episodes")))
         store.set_cursors(link_at=self.now().isoformat())
         strong = store.read("episodes").agg(F.count("*").alias("episodes"), F.coalesce(F.sum(F.col("link_confidence").isin("high", "medium").cast("bigint")), F.lit(0)).alias("medium_or_higher")).first()
         return strong.asDict() | {"discards": store.read("discards").count()}
@@ -107,6 +109,7 @@ class Engine:
         members = compiling.cluster_members(episodes)
         recipes = compiling.recipes_of(members, least, settings.allow_single_high_confidence if allow_single_high is None else allow_single_high, at, store.suppressions())
         store.write("recipes", recipes)
+        store.write("recipe_index", recipe_index(store.read("recipes")))
         store.write("compile_meta", compiling.compile_meta(episodes, members, least))
         run = store.read("recipes").agg(F.count("*").alias("recipes"), F.max("compile_run_id").alias("run")).first()
         store.set_cursors(compile_at=at.isoformat(), compile_run_id=run.run)
@@ -145,5 +148,20 @@ class Engine:
         cursors = self.spark.createDataFrame([(slug, at("ingest_at"), at("link_at"), at("compile_at"))], CURSOR_COLUMNS)
         return retrieve.freshness(cursors, store.read("episodes", "repo string"), store.read("recipes", "repo string"))
 
+    def suggestion_warnings(self, slug: str, suggestions: DataFrame | None = None) -> list[str]:
+        return retrieve.warnings(self.freshness(slug), suggestions)
+
+    def preview_suggestion(self, slug: str, recipe_id: str, **query) -> DataFrame:
+        """One of the suggestions for a piece of code, as it would be applied."""
+        return retrieve.preview_of(self.suggest(slug, **query, limit=retrieve.MAX_LIMIT), recipe_id)
+
+    def episodes(self, slug: str, ids: list[str]) -> DataFrame:
+        return by_ids(self.store(slug).read("episodes"), ids)
+
+    def run_merge_events(self, events: DataFrame, checkpoint: str, dead_letters: str, **options: str) -> None:
+        """Ingest, link and compile the repositories of a stream of merge events; those not on the allow list go to the dead letters."""
+        stages = [("ingest", lambda _, slug: self.ingest(slug, **options)), ("link", lambda _, slug: self.link(slug)), ("compile", lambda _, slug: self.compile(slug))]
+        run_merges(events, checkpoint, stages, dead_letters)
+
     def purge(self, slug: str) -> bool:
         return self.store(slug).purge()

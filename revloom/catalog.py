@@ -11,8 +11,10 @@ from revloom.functions.message_ids import id_pairs, with_message_key
 from revloom.operators import clustering, matching
 from revloom.operators.linking import line_hunks
 from revloom.operators.ordering import with_positions
+from revloom.operators.validation import validate_medium
 from revloom.plans import compile as compiling, ingest, link, retrieve
 from revloom.session import materialize, scratch_path, table
+from revloom.sources.store import index_rows, recipe_index
 from revloom.streaming import merges
 
 AS_OF = datetime(2025, 6, 1)
@@ -57,7 +59,7 @@ def comment_keywords(spark, sf):
 
 
 def keyword_topk(spark, sf):
-    words = _t(spark, sf, "documents").select("source", F.explode(T.title_words(F.col("text"))).alias("word")).filter("word rlike '^[a-z0-9]+$'")
+    words = _t(spark, sf, "documents").select("source", F.explode(T.title_words(F.col("text"))).alias("word"))
     counted = words.groupBy("source", "word").agg(F.count("*").alias("n"))
     return counted.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "word"))).filter("r <= 5")
 
@@ -168,10 +170,78 @@ def list_recipes(spark, sf):
 
 
 def payload_budget(spark, sf):
-    """Documents in order of their id whose texts fit a budget of bytes together, per source."""
-    d = _t(spark, sf, "documents")
-    so_far = F.sum(F.octet_length("text") + 1).over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)) + 1
-    return d.select("doc_id", "source", so_far.alias("so_far")).filter(F.col("so_far") <= retrieve.PAYLOAD_BYTES)
+    """The first documents whose JSON forms fit into one answer together."""
+    return retrieve.within_budget(_t(spark, sf, "documents").select("doc_id", "source", "n_chars"), [F.col("doc_id")])
+
+
+def browse(spark, sf):
+    """The cards of a language that hold some words (a top-k report)."""
+    found = retrieve.list_recipes(_recipes(spark, sf), language="Go", words="Past Reviewers", limit=20)
+    return found.select("recipe_id", "total_matched", "truncated", "support", "evidence_count", F.md5("before").alias("before"), F.md5("after").alias("after"), F.array_join("languages", ",").alias("languages"))
+
+
+def explain(spark, sf):
+    """All that speaks for the first recipe by id."""
+    recipes = materialize(_recipes(spark, sf), "recipes")
+    first = recipes.agg(F.min("recipe_id")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "recipe_id string, place int, episode_id string, comment_url string, comment_body string, link_confidence string, reviewer string, support bigint")
+    return retrieve.explain(recipes, _episodes(spark, sf), first).select("recipe_id", "place", "episode_id", "comment_url", "comment_body", "link_confidence", "reviewer", "support")
+
+
+def suggestions(spark, sf):
+    """The best recipes for all reviewed code together (a top-k report)."""
+    recipes = materialize(_recipes(spark, sf), "recipes")
+    found = retrieve.suggest(_comment_hunks(spark, sf), recipes, _episodes(spark, sf), AS_OF, 20)
+    return found.select("rank", "recipe_id", F.round("score", 6).alias("score"), "path", "start_line", "support", "confidence", F.size("evidence").alias("n_evidence"), F.md5("patch").alias("patch"))
+
+
+def editor_suggestions(spark, sf):
+    return retrieve.high_support(suggestions(spark, sf)).select("recipe_id", "support", "confidence")
+
+
+def compile_counts(spark, sf):
+    e = _episodes(spark, sf)
+    return compiling.compile_meta(e, compiling.cluster_members(e))
+
+
+def suppressed_recipes(spark, sf):
+    """Recipes compiled while those with an id that begins with 0 to 7 are suppressed."""
+    members = compiling.cluster_members(_episodes(spark, sf))
+    ids = compiling.recipes_of(members, as_of=AS_OF).select("recipe_id").filter("recipe_id < 'rcp_8'")
+    return compiling.recipes_of(members, as_of=AS_OF, suppressed=materialize(ids, "suppressed")).select("recipe_id", "suppressed")
+
+
+def single_high_recipes(spark, sf):
+    """Recipes where one episode of high confidence is enough."""
+    return compiling.compile_recipes(_episodes(spark, sf), min_support=3, allow_single_high=True, as_of=AS_OF).select("recipe_id", "repo", "support")
+
+
+def validated_links(spark, sf):
+    """Links after a second opinion: accepted code that is longer than the rejected one is said to answer the comment."""
+    def scorer(comment, rejected, accepted):
+        return None if len(accepted) == len(rejected) else 'I think: {"addresses": %s}.' % ("true" if len(accepted) > len(rejected) else "false")
+
+    return validate_medium(_episodes(spark, sf), scorer).select("id", "link_confidence", "link_reason")
+
+
+def comment_files(spark, sf):
+    """The places whose files are fetched for the kept messages."""
+    pulls = _t(spark, sf, "pull_requests").groupBy("pr_number").agg(F.max("merge_commit_sha").alias("merge_commit_sha")).select(F.col("pr_number").alias("number"), "merge_commit_sha")
+    return ingest.files_of(pulls, _t(spark, sf, "review_comments"))
+
+
+def blob_index_rows(spark, sf):
+    files = _t(spark, sf, "blob_index").select("commit_ref", F.col("path").alias("asked_path"), "sha")
+    return ingest.index_entries(files).select("commit_ref", "path", "sha")
+
+
+def episode_index(spark, sf):
+    return index_rows(_episodes(spark, sf))
+
+
+def recipe_listing(spark, sf):
+    return recipe_index(_recipes(spark, sf)).select("recipe_id", "title", "support", F.array_join("path_prefixes", ",").alias("prefixes"), F.array_join("languages", ",").alias("languages"), "suppressed", "recipe_order")
 
 
 def evidence(spark, sf):
@@ -179,10 +249,9 @@ def evidence(spark, sf):
 
 
 def _comment_hunks(spark, sf):
-    lines = F.split("diff_hunk", "\n")
-    new = F.transform(F.filter(F.slice(lines, 2, 1_000_000), lambda x: x.startswith("+") | x.startswith(" ")), lambda x: F.substr(x, F.lit(2)))
-    start = F.regexp_extract("diff_hunk", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).cast("int")
-    kept = _t(spark, sf, "pull_review_comments").filter("diff_hunk like '@@ %' and path is not null and repo is not null")
+    new = F.transform(F.filter(F.split("diff_hunk", "\n"), lambda x: x.startswith("+") | x.startswith(" ")), lambda x: F.substr(x, F.lit(2)))
+    start = F.regexp_extract("diff_hunk", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).try_cast("int")
+    kept = _t(spark, sf, "pull_review_comments").filter("diff_hunk is not null and path is not null and repo is not null")
     return kept.select(F.col("delivery_id").alias("hunk_pos"), "repo", "path", F.array_join(new, "\n").alias("snippet"), start.alias("start_line"), (start + F.greatest(F.size(new) - 1, F.lit(0))).alias("end_line"))
 
 
@@ -215,7 +284,8 @@ def first_hit_lookup(spark, sf):
 
 
 def only_blobs(spark, sf):
-    blobs = _t(spark, sf, "contents").filter("content is not null").select("repo", "sha", F.col("content").alias("text"))
+    """The blob of each file, taken for a repository, that has just one."""
+    blobs = _t(spark, sf, "contents").filter("content is not null and repo is not null and path is not null").select(F.concat("repo", F.lit(":"), "path").alias("repo"), "sha", F.col("content").alias("text"))
     return link.only_blobs(blobs).select("repo", "only_sha")
 
 
@@ -322,24 +392,39 @@ def link_discards(spark, sf):
     return _linked(spark, sf)[1].groupBy("discard_reason").agg(F.count("*").alias("n"))
 
 
-def merge_events(spark, sf):
-    """Events dressed as webhook payloads, and the status each gets."""
+def _payloads(spark, sf):
+    """Events dressed as requests: merges told in two ways, other actions, malformed names, no JSON, nothing, unsigned."""
     e = _t(spark, sf, "events")
-    body = F.concat(F.lit('{"action": "'), F.when(F.col("event_type") == "purchase", "closed").otherwise("opened"), F.lit('", "pull_request": {"merged": true, "number": '), F.col("user_id").cast("string"), F.lit('}, "repository": {"full_name": "acme/shop"}}'))
-    s = merges.statuses(e.withColumn("body", body))
-    return s.select("event_id", "status", merges.merge_events(F.col("body"))["number"].alias("number"))
+    k = F.pmod("event_id", F.lit(8))
+    action = F.when(F.col("event_type") == "purchase", "closed").otherwise("opened")
+    merged = F.when(k == 2, "false").otherwise("true")
+    shop = F.concat(F.lit("shop"), F.pmod("user_id", F.lit(7)).cast("string"))
+    repo = F.when(k == 1, F.concat(F.lit('{"name": "'), shop, F.lit('", "owner": {"login": "acme"}}'))).when(k == 3, '{"full_name": "not a slug"}').otherwise(F.concat(F.lit('{"full_name": "acme/'), shop, F.lit('"}')))
+    body = F.concat(F.lit('{"action": "'), action, F.lit('", "pull_request": {"merged": '), merged, F.lit(', "number": '), F.col("user_id").cast("string"), F.lit('}, "repository": '), repo, F.lit("}"))
+    return e.select("event_id", F.when(k == 4, "nonsense").when(k == 5, None).otherwise(body).alias("body"), (k != 6).alias("signed"))
+
+
+def merge_events(spark, sf):
+    """The status each request gets, and the merge it tells of."""
+    s = merges.statuses(_payloads(spark, sf), signed="signed")
+    m = merges.merge_events(F.col("body"))
+    return s.select("event_id", "status", m["repo"].alias("repo"), m["number"].alias("number"))
 
 
 def merge_events_stream(spark, sf):
-    """Counts of purchase events, gathered by a file stream that ends when all is read."""
-    out, mark = (scratch_path(spark, x) for x in ("stream-out", "stream-mark"))
-    events = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
-    reader = spark.readStream.schema(_t(spark, sf, "events").schema)
-    # A stream reads folders; where the table is a single file it is picked out of the folder around it.
-    folder = events.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(events).isDirectory()
-    stream = reader.parquet(f"{sf}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf)
-    stream.filter("event_type = 'purchase'").writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return merges.event_counts(spark.read.schema(_t(spark, sf, "events").schema).parquet(out))
+    """What a stream of the requests sets off: two stages per repository, of which one fails for one."""
+    source, mark, dead = (scratch_path(spark, x) for x in ("stream-in", "stream-mark", "stream-dead"))
+    _payloads(spark, sf).filter("signed and body is not null").select("body").coalesce(1).write.parquet(source)
+    ran = []
+
+    def linked(_, repo):
+        if repo.endswith("3"):
+            raise ValueError("this one fails")
+        ran.append((repo, "link"))
+
+    merges.run_merges(spark.readStream.schema("body string").parquet(source), mark, [("ingest", lambda _, repo: ran.append((repo, "ingest"))), ("link", linked)], dead)
+    done = spark.createDataFrame([(*r, "done") for r in ran], "repo string, stage string, outcome string")
+    return done.unionByName(spark.read.schema("repo string, stage string").parquet(dead).withColumn("outcome", F.lit("failed"))) if ran else done
 
 
 _NAMES = [
@@ -347,6 +432,7 @@ _NAMES = [
     path_features, common_folders, suggestion_blocks, stable_ids, confidence, similar_pairs, leader_clusters, cluster_support, cluster_medoids, drop_histogram,
     recipes_from_episodes, recipe_texts, suppress_filter, list_recipes, payload_budget, evidence, suggest_topk, patches, link_join, missing_parent,
     first_hit_lookup, only_blobs, watermark, watermark_merge, incremental_since, newest_prs, ingest_counters, upsert_created, distinct_paths, pull_projection,
+    browse, explain, suggestions, editor_suggestions, compile_counts, suppressed_recipes, single_high_recipes, validated_links, comment_files, blob_index_rows, episode_index, recipe_listing,
     comment_projection, blob_texts, repo_catalog, freshness, edit_hunks, link_episodes, link_discards, merge_events, merge_events_stream,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}

@@ -11,10 +11,6 @@ class NoData(RevloomError):
     code = "NO_DATA"
 
 
-class Stale(RevloomError):
-    code = "STALE"
-
-
 class NotFound(RevloomError):
     code = "NOT_FOUND"
 
@@ -23,10 +19,6 @@ class InvalidDiff(RevloomError):
     code = "INVALID_DIFF"
 
 
-class OverBudget(RevloomError):
-    code = "BUDGET"
-
-
 class Forbidden(RevloomError):
     code = "REPO_FORBIDDEN"
 

@@ -84,10 +84,6 @@ def normal_hash(text: Column) -> Column:
     return F.sha2(normalize_cluster(text), 256)
 
 
-def pair_key(rejected: Column, accepted: Column) -> Column:
-    return F.concat_ws("\x00", rejected, accepted)
-
-
 def name_set(text: Column) -> Column:
     """The distinct names in a text, in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)))

@@ -147,6 +147,38 @@ def ordered_distinct(c: str) -> str:
 
 _PREFIX = f"CASE WHEN len(shared) > 0 THEN array_to_string(shared, '/') || '/' ELSE {_SEG} END"
 
+def _scores(same: str) -> str:
+    """``sc``: the scores of the recipes and the pieces of code that fit."""
+    return f"""{_MEDOID},
+      sg AS (SELECT recipe_id, list_concat(list_filter(list_transform(string_split(raw_before, chr(10)), lambda x : {trim("x")}), lambda x : length(x) >= 4 AND regexp_matches(x, '[A-Za-z0-9]')),
+        list_filter(regexp_extract_all(raw_before, '[A-Za-z_][A-Za-z0-9_.]*'), lambda x : length(x) >= 4 AND NOT regexp_full_match(x, '_+'))) AS w FROM rt),
+      sx AS (SELECT recipe_id, s, min(i) AS i FROM (SELECT recipe_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM sg) GROUP BY 1, 2),
+      sl AS (SELECT recipe_id, list(lower(s)) AS sig FROM (SELECT * FROM sx QUALIFY row_number() OVER (PARTITION BY recipe_id ORDER BY i) <= 12) GROUP BY 1),
+      la AS (SELECT recipe_id, max(ep.merged_at) AS latest FROM (SELECT recipe_id, unnest(ids) AS id FROM rid) x JOIN ep ON ep.id = x.id GROUP BY 1),
+      rr AS (SELECT rt.recipe_id, repo, support, conf, first_pos, {_PREFIX} AS pre, rtrim({_PREFIX}, '/') AS base, coalesce(sig, []) AS sig, latest, {names(cluster_form("before"))} AS bn, {names(cluster_form("after"))} AS an, max(support) OVER () AS top FROM rt LEFT JOIN sl ON sl.recipe_id = rt.recipe_id JOIN la ON la.recipe_id = rt.recipe_id),
+      hh AS (SELECT delivery_id AS hunk_pos, repo, path, try_cast(regexp_extract(diff_hunk, '^@@ -\\d+(?:,\\d+)? \\+(\\d+)', 1) AS INTEGER) AS start_line, array_to_string(list_transform(list_filter(string_split(diff_hunk, chr(10)), lambda x : starts_with(x, '+') OR starts_with(x, ' ')), lambda x : substr(x, 2)), chr(10)) AS snippet
+        FROM pull_review_comments WHERE diff_hunk IS NOT NULL AND path IS NOT NULL AND repo IS NOT NULL),
+      mt AS (SELECT rr.*, hunk_pos, path, start_line, snippet FROM hh JOIN rr ON {same} AND (path = base OR starts_with(path, base || '/'))),
+      nm AS (SELECT *, {names(cluster_form("snippet"))} AS hn FROM mt),
+      jj AS (SELECT *, CASE WHEN len(hn) = 0 AND len(bn) = 0 THEN 1.0 WHEN len(hn) = 0 OR len(bn) = 0 THEN 0.0 ELSE len(list_intersect(hn, bn))::DOUBLE / (len(hn) + len(bn) - len(list_intersect(hn, bn))) END AS bs,
+        CASE WHEN len(hn) = 0 AND len(an) = 0 THEN 1.0 WHEN len(hn) = 0 OR len(an) = 0 THEN 0.0 ELSE len(list_intersect(hn, an))::DOUBLE / (len(hn) + len(an) - len(list_intersect(hn, an))) END AS av,
+        CASE WHEN len(sig) = 0 THEN 0.0 ELSE len(list_filter(sig, lambda x : contains(lower(snippet), x)))::DOUBLE / len(sig) END AS ss FROM nm),
+      sc AS (SELECT recipe_id, hunk_pos, path, start_line, support, conf, first_pos, greatest(ss, bs) AS signal, 0.35::DOUBLE * (support::DOUBLE / greatest(1, top)) + 0.25::DOUBLE * conf + 0.2::DOUBLE * least(1.0::DOUBLE, len(list_filter(string_split(pre, '/'), lambda x : x <> '')) / 4.0::DOUBLE)
+        + 0.1::DOUBLE * greatest(0.0::DOUBLE, 1 - (epoch_us(TIMESTAMPTZ '2025-06-01 00:00:00+00') - epoch_us(latest)) / 1e6::DOUBLE / 31536000.0::DOUBLE) + 0.1::DOUBLE * greatest(ss, bs) AS score FROM jj WHERE greatest(ss, bs) >= 0.15 AND NOT (av >= 0.85 AND av > bs))"""
+
+
+_SUGGESTED = f"""{_scores("true")},
+      one AS (SELECT *, min(hunk_pos) OVER (PARTITION BY recipe_id) AS first_seen FROM sc QUALIFY row_number() OVER (PARTITION BY recipe_id ORDER BY score DESC, hunk_pos) = 1),
+      sugg AS (SELECT *, row_number() OVER (ORDER BY score DESC, first_seen, first_pos, recipe_id) AS "rank" FROM one)"""
+
+_CARD = f"""{_MEDOID}, cd AS (SELECT *, CASE WHEN conf >= 0.85 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS label, coalesce(list_distinct(languages), []) AS langs FROM rt)"""
+
+
+def _shown(c: str) -> str:
+    lines = f"string_split({c}, chr(10))"
+    return f"CASE WHEN len({lines}) <= 40 THEN {c} ELSE array_to_string(list_slice({lines}, 1, 40), chr(10)) || chr(10) || '… (' || (len({lines}) - 40) || ' more lines)' END"
+
+
 SQL = {
     "redact_hunks": f"SELECT delivery_id, md5({redact('diff_hunk')}) AS redacted, length({redact('body')})::INTEGER AS body_length FROM pull_review_comments",
     "secret_flags": "SELECT delivery_id, coalesce(" + " OR ".join(f"regexp_matches(diff_hunk, {q(p)})" for p, _ in REDACTIONS) + ", false) AS has_secret FROM pull_review_comments",
@@ -157,7 +189,7 @@ SQL = {
       x AS (SELECT delivery_id, k, min(i) AS i FROM (SELECT delivery_id, unnest(w) AS k, generate_subscripts(w, 1) AS i FROM w) WHERE k NOT IN {among(COMMENT_STOP_WORDS)} GROUP BY 1, 2)
       SELECT w.delivery_id, CASE WHEN w.w IS NOT NULL THEN coalesce(s, '') END AS keywords FROM w LEFT JOIN (SELECT delivery_id, string_agg(k, ' ' ORDER BY i) AS s FROM x GROUP BY 1) y ON w.delivery_id = y.delivery_id""",
     "keyword_topk": f"""WITH w AS (SELECT source, unnest({_TITLE % 'text'}) AS word FROM documents),
-      c AS (SELECT source, word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z0-9]+') GROUP BY 1, 2)
+      c AS (SELECT source, word, count(*) AS n FROM w GROUP BY 1, 2)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word)::INTEGER AS r FROM c) WHERE r <= 5""",
     "normal_forms": f"SELECT delivery_id, md5({span_form('diff_hunk')}) AS span, md5({cluster_form('diff_hunk')}) AS cluster, sha256({cluster_form('diff_hunk')}) AS sha FROM pull_review_comments",
     "name_sets": """WITH w AS (SELECT delivery_id, regexp_extract_all(diff_hunk, '[A-Za-z_][A-Za-z0-9_]*') AS w FROM pull_review_comments),
@@ -194,7 +226,34 @@ SQL = {
     "list_recipes": f"""{_RECIPE}, f AS (SELECT recipe_id, support, conf, first_pos, len(ids)::INTEGER AS evidence_count, CASE WHEN conf >= 0.85 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, {_PREFIX} AS pre FROM rid WHERE recipe_id >= 'rcp_4'),
       g AS (SELECT *, count(*) OVER () AS total_matched FROM f WHERE starts_with('src', pre) OR starts_with(pre, 'src') OR pre = 'src' OR pre = 'src/')
       SELECT recipe_id, support, evidence_count, confidence, total_matched FROM g ORDER BY support DESC, conf DESC, first_pos LIMIT 20""",
-    "payload_budget": "SELECT doc_id, source, so_far FROM (SELECT doc_id, source, (sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) + 1)::BIGINT AS so_far FROM documents) WHERE so_far <= 32768",
+    "payload_budget": """SELECT doc_id, source, n_chars FROM (SELECT *, sum(strlen('{"doc_id":' || doc_id || coalesce(',"source":"' || source || '"', '') || coalesce(',"n_chars":' || n_chars, '') || '}') + 1) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) + 1 AS b FROM documents) WHERE b <= 32768""",
+    "browse": f"""{_CARD}, m AS (SELECT * FROM cd WHERE len(langs) = 0 OR len(list_filter(langs, lambda x : lower(x) = 'go')) > 0)
+      SELECT recipe_id, count(*) OVER () AS total_matched, count(*) OVER () > 20 AS truncated, support, len(ids)::INTEGER AS evidence_count, md5({_shown("before")}) AS before, md5({_shown("after")}) AS "after", coalesce({ordered_distinct("languages")}, '') AS languages
+      FROM m ORDER BY support DESC, conf DESC, first_pos LIMIT 20""",
+    "explain": f"""{_RECIPE}, o AS (SELECT * FROM rid ORDER BY recipe_id LIMIT 1), n AS (SELECT recipe_id, support, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS place FROM o)
+      SELECT recipe_id, place::INTEGER AS place, n.id AS episode_id, 'https://github.com/' || repo || '/pull/' || pr_number || '#discussion_' || comment_id AS comment_url, comment_body, link_confidence, reviewer, support FROM n JOIN ep ON ep.id = n.id""",
+    "suggestions": f"""{_SUGGESTED} SELECT "rank"::INTEGER AS "rank", s.recipe_id, round(score, 6) AS score, s.path AS path, start_line, s.support, CASE WHEN s.conf >= 0.85 THEN 'high' WHEN s.conf >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, len(rt.ids)::INTEGER AS n_evidence,
+      md5(CASE WHEN start_line IS NULL THEN '--- before (rejected pattern)' || chr(10) || before || chr(10) || '+++ after (historical accept)' || chr(10) || after ELSE
+        '--- a/' || s.path || chr(10) || '+++ b/' || s.path || chr(10) || '@@ -' || start_line || ',' || len(string_split(before, chr(10))) || ' +' || start_line || ',' || len(string_split(after, chr(10))) || ' @@' || chr(10)
+        || array_to_string(list_transform(string_split(before, chr(10)), lambda x : '-' || x), chr(10)) || chr(10) || array_to_string(list_transform(string_split(after, chr(10)), lambda x : '+' || x), chr(10)) END) AS patch
+      FROM sugg s JOIN rt ON rt.recipe_id = s.recipe_id WHERE "rank" <= 20""",
+    "editor_suggestions": f"""{_SUGGESTED} SELECT recipe_id, support, CASE WHEN conf >= 0.85 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS confidence FROM sugg WHERE "rank" <= 20 AND support >= 2 AND conf >= 0.6""",
+    "compile_counts": f"""{_REPO}, z AS (SELECT count(*) AS n FROM led GROUP BY bucket, leader)
+      SELECT count(*) FILTER (WHERE accepted IS NULL) AS no_accepted, count(*) FILTER (WHERE accepted IS NOT NULL AND link_confidence = 'low') AS low_confidence, count(*) FILTER (WHERE accepted IS NOT NULL AND link_confidence = 'none') AS none_confidence,
+        count(*) AS episodes, (SELECT count(*) FROM led) AS eligible_episodes, (SELECT count(*) FROM z) AS clusters, (SELECT count(*) FROM z WHERE n < 2) AS below_min_support, 2::INTEGER AS min_support, 0.72::DOUBLE AS similarity_threshold FROM ep""",
+    "suppressed_recipes": f"{_RECIPE} SELECT recipe_id, recipe_id < 'rcp_8' AS suppressed FROM rid",
+    "single_high_recipes": f"""{_RECIPE.replace("HAVING count(*) >= 2", "HAVING count(*) >= 3 OR (count(*) = 1 AND max(link_confidence) = 'high')")} SELECT recipe_id, repo, support FROM rid""",
+    "validated_links": f"""WITH {_EP}, v AS (SELECT *, CASE WHEN link_confidence = 'medium' AND accepted IS NOT NULL AND length(accepted.text) <> length(rejected.text) THEN length(accepted.text) > length(rejected.text) END AS said FROM ep)
+      SELECT id, CASE WHEN said THEN 'high' WHEN NOT said THEN 'low' ELSE link_confidence END AS link_confidence, link_reason || CASE WHEN said THEN '+validated' WHEN NOT said THEN '+rejected_by_validation' ELSE '' END AS link_reason FROM v""",
+    "comment_files": """WITH p AS (SELECT pr_number, max(merge_commit_sha) AS s FROM pull_requests GROUP BY 1), x AS (SELECT p.s AS commit_ref, path FROM review_comments c JOIN p ON p.pr_number = c.pr_number UNION ALL SELECT commit_id, path FROM review_comments)
+      SELECT DISTINCT trim(commit_ref) AS commit_ref, trim(path) AS path FROM x WHERE trim(commit_ref) <> '' AND trim(path) <> ''""",
+    "blob_index_rows": f"SELECT commit_ref, path, lower({trim('sha')}) AS sha FROM blob_index WHERE {trim('sha')} <> ''",
+    "episode_index": f"WITH {_EP} SELECT pos, id, pr_number, comment_id, path, link_confidence, link_reason, actionable FROM ep",
+    "recipe_listing": f"""{_RECIPE}, kc AS (SELECT bucket, leader, w, count(*) AS n FROM (SELECT bucket, leader, unnest({_TITLE % redact('comment_body')}) AS w FROM led) GROUP BY 1, 2, 3),
+      kw AS (SELECT bucket, leader, w AS top FROM kc QUALIFY row_number() OVER (PARTITION BY bucket, leader ORDER BY n DESC, translate(w, '_-', chr(1) || chr(2))) = 1),
+      tx AS (SELECT rid.*, top, {_PREFIX} AS prefixes, CASE WHEN rtrim({_PREFIX}, '/') = '' THEN 'repo' ELSE rtrim({_PREFIX}, '/') END AS hint FROM rid LEFT JOIN kw ON kw.bucket = rid.bucket AND kw.leader = rid.leader)
+      SELECT recipe_id, CASE WHEN top IS NOT NULL THEN upper(substr(top, 1, 1)) || substr(top, 2) || ': ' || hint || ' rewrite (' || support || ' reviews)' ELSE 'Review rewrite in ' || hint || ' (' || support || ' reviews)' END AS title,
+        support, prefixes, coalesce({ordered_distinct('languages')}, '') AS languages, false AS suppressed, first_pos AS recipe_order FROM tx""",
     "evidence": f"""{_RECIPE}, n AS (SELECT recipe_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS place FROM rid)
       SELECT recipe_id, n.id AS episode_id, place::INTEGER AS place, pr_number, 'https://github.com/' || repo || '/pull/' || pr_number || '#discussion_' || comment_id AS comment_url FROM n JOIN ep ON ep.id = n.id""",
     "recipe_texts": f"""{_MEDOID},
@@ -206,28 +265,13 @@ SQL = {
         before, after, 'compile_' || substr(sha256(repo || chr(0) || '2025-06-01T00:00:00.000Z'), 1, 12) AS compile_run_id, '2025-06-01T00:00:00.000Z' AS created_at, false AS suppressed FROM tx""",
     "patches": f"""{_MEDOID} SELECT recipe_id, '--- a/a/b.ts' || chr(10) || '+++ b/a/b.ts' || chr(10) || '@@ -7,' || len(string_split(before, chr(10))) || ' +7,' || len(string_split(after, chr(10))) || ' @@' || chr(10)
       || array_to_string(list_transform(string_split(before, chr(10)), lambda x : '-' || x), chr(10)) || chr(10) || array_to_string(list_transform(string_split(after, chr(10)), lambda x : '+' || x), chr(10)) AS patch FROM rt""",
-    "suggest_topk": f"""{_MEDOID},
-      sg AS (SELECT recipe_id, list_concat(list_filter(list_transform(string_split(raw_before, chr(10)), lambda x : {trim("x")}), lambda x : length(x) >= 4 AND regexp_matches(x, '[A-Za-z0-9]')),
-        list_filter(regexp_extract_all(raw_before, '[A-Za-z_][A-Za-z0-9_.]*'), lambda x : length(x) >= 4 AND NOT regexp_full_match(x, '_+'))) AS w FROM rt),
-      sx AS (SELECT recipe_id, s, min(i) AS i FROM (SELECT recipe_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM sg) GROUP BY 1, 2),
-      sl AS (SELECT recipe_id, list(lower(s)) AS sig FROM (SELECT * FROM sx QUALIFY row_number() OVER (PARTITION BY recipe_id ORDER BY i) <= 12) GROUP BY 1),
-      la AS (SELECT recipe_id, max(ep.merged_at) AS latest FROM (SELECT recipe_id, unnest(ids) AS id FROM rid) x JOIN ep ON ep.id = x.id GROUP BY 1),
-      rr AS (SELECT rt.recipe_id, repo, support, conf, {_PREFIX} AS pre, rtrim({_PREFIX}, '/') AS base, coalesce(sig, []) AS sig, latest, {names(cluster_form("before"))} AS bn, {names(cluster_form("after"))} AS an, max(support) OVER () AS top FROM rt LEFT JOIN sl ON sl.recipe_id = rt.recipe_id JOIN la ON la.recipe_id = rt.recipe_id),
-      hh AS (SELECT delivery_id AS hunk_pos, repo, path, array_to_string(list_transform(list_filter(list_slice(string_split(diff_hunk, chr(10)), 2, 1000000), lambda x : starts_with(x, '+') OR starts_with(x, ' ')), lambda x : substr(x, 2)), chr(10)) AS snippet
-        FROM pull_review_comments WHERE diff_hunk LIKE '@@ %' AND path IS NOT NULL),
-      mt AS (SELECT rr.*, hunk_pos, path, snippet FROM hh JOIN rr ON hh.repo = rr.repo AND (path = base OR starts_with(path, base || '/'))),
-      nm AS (SELECT *, {names(cluster_form("snippet"))} AS hn FROM mt),
-      jj AS (SELECT *, CASE WHEN len(hn) = 0 AND len(bn) = 0 THEN 1.0 WHEN len(hn) = 0 OR len(bn) = 0 THEN 0.0 ELSE len(list_intersect(hn, bn))::DOUBLE / (len(hn) + len(bn) - len(list_intersect(hn, bn))) END AS bs,
-        CASE WHEN len(hn) = 0 AND len(an) = 0 THEN 1.0 WHEN len(hn) = 0 OR len(an) = 0 THEN 0.0 ELSE len(list_intersect(hn, an))::DOUBLE / (len(hn) + len(an) - len(list_intersect(hn, an))) END AS av,
-        CASE WHEN len(sig) = 0 THEN 0.0 ELSE len(list_filter(sig, lambda x : contains(lower(snippet), x)))::DOUBLE / len(sig) END AS ss FROM nm),
-      sc AS (SELECT recipe_id, hunk_pos, greatest(ss, bs) AS signal, 0.35::DOUBLE * (support::DOUBLE / greatest(1, top)) + 0.25::DOUBLE * conf + 0.2::DOUBLE * least(1.0::DOUBLE, len(list_filter(string_split(pre, '/'), lambda x : x <> '')) / 4.0::DOUBLE)
-        + 0.1::DOUBLE * greatest(0.0::DOUBLE, 1 - (epoch_us(TIMESTAMPTZ '2025-06-01 00:00:00+00') - epoch_us(latest)) / 1e6::DOUBLE / 31536000.0::DOUBLE) + 0.1::DOUBLE * greatest(ss, bs) AS score FROM jj WHERE greatest(ss, bs) >= 0.15 AND NOT (av >= 0.85 AND av > bs))
+    "suggest_topk": f"""{_scores("hh.repo = rr.repo")}
       SELECT recipe_id, hunk_pos, round(score, 6) AS score, round(signal, 6) AS signal FROM sc QUALIFY row_number() OVER (PARTITION BY recipe_id ORDER BY score DESC, hunk_pos) = 1""",
     "link_join": f"WITH {_EP}, p AS (SELECT repo, pr_number, arg_max(merge_commit_sha, id) AS merge_commit_sha FROM pull_requests GROUP BY 1, 2) SELECT ep.id, ep.pr_number, p.merge_commit_sha FROM ep LEFT JOIN p ON p.repo = ep.repo AND p.pr_number = ep.pr_number",
     "missing_parent": f"WITH {_EP} SELECT id, repo FROM ep WHERE NOT EXISTS (SELECT 1 FROM pull_requests p WHERE p.repo = ep.repo AND p.pr_number = ep.pr_number)",
     "first_hit_lookup": f"""SELECT repo, commit_ref, path, sha FROM (SELECT repo, {trim('commit_ref')} AS commit_ref, {trim('path')} AS path, lower({trim('sha')}) AS sha, entry_id FROM blob_index)
       WHERE commit_ref <> '' AND path <> '' AND sha <> '' QUALIFY row_number() OVER (PARTITION BY repo, commit_ref, path ORDER BY entry_id) = 1""",
-    "only_blobs": "SELECT repo, min(sha) AS only_sha FROM contents WHERE content IS NOT NULL GROUP BY repo HAVING count(DISTINCT sha) = 1",
+    "only_blobs": "SELECT repo || ':' || path AS repo, min(sha) AS only_sha FROM contents WHERE content IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL GROUP BY ALL HAVING count(DISTINCT sha) = 1",
     "watermark": "SELECT epoch_us(merged_at) AS merged_at, pr_number AS \"number\" FROM pull_requests p WHERE merged_at IS NOT NULL ORDER BY p.merged_at DESC, pr_number DESC LIMIT 1",
     "watermark_merge": "SELECT epoch_us(merged_at) AS merged_at, pr_number AS \"number\" FROM pull_requests p WHERE merged_at IS NOT NULL AND pr_number IS NOT NULL ORDER BY p.merged_at DESC, pr_number DESC LIMIT 1",
     "incremental_since": "SELECT repo, pr_number AS \"number\", epoch_us(merged_at) AS merged_at, url FROM pull_requests p WHERE p.merged_at > TIMESTAMPTZ '2024-06-01 00:00:00+00'",
@@ -247,6 +291,8 @@ SQL = {
       x AS (SELECT c.repo, CASE WHEN l IS NOT NULL AND k IS NULL THEN 'Episodes linked but recipes not compiled since last link.' WHEN l > k THEN 'Link watermark is newer than last compile; compile again.' WHEN i > k THEN 'New pull requests ingested since last compile; compile again.' END AS reason,
         coalesce(e.n, 0) AS episode_count, coalesce(r.n, 0) AS recipe_count FROM c LEFT JOIN l USING (repo) LEFT JOIN k USING (repo) LEFT JOIN e USING (repo) LEFT JOIN r USING (repo))
       SELECT repo, reason IS NOT NULL AS stale, reason, episode_count, recipe_count FROM x""",
-    "merge_events": "SELECT event_id, CASE WHEN event_type = 'purchase' AND user_id >= 1 THEN 202 ELSE 200 END::INTEGER AS status, CASE WHEN event_type = 'purchase' AND user_id >= 1 THEN user_id END::INTEGER AS \"number\" FROM events",
-    "merge_events_stream": "SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k10, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2",
+    "merge_events": """WITH e AS (SELECT *, event_id % 8 AS k, event_type = 'purchase' AND user_id >= 1 AND event_id % 8 NOT IN (2, 3, 4, 5) AS told FROM events)
+      SELECT event_id, CASE WHEN k = 6 THEN 401 WHEN k IN (4, 5) THEN 400 WHEN told THEN 202 ELSE 200 END::INTEGER AS status, CASE WHEN told THEN 'acme/shop' || (user_id % 7) END AS repo, CASE WHEN told THEN user_id END::INTEGER AS "number" FROM e""",
+    "merge_events_stream": """WITH r AS (SELECT DISTINCT 'acme/shop' || (user_id % 7) AS repo FROM events WHERE event_type = 'purchase' AND user_id >= 1 AND event_id % 8 IN (0, 1, 7))
+      SELECT repo, 'ingest' AS stage, 'done' AS outcome FROM r UNION ALL SELECT repo, 'link', CASE WHEN ends_with(repo, '3') THEN 'failed' ELSE 'done' END FROM r""",
 }

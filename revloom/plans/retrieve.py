@@ -102,8 +102,12 @@ def cards(recipes: DataFrame) -> DataFrame:
 
 
 def within_budget(ordered: DataFrame, order: list[Column], budget: int = PAYLOAD_BYTES) -> DataFrame:
-    """The longest beginning of a short ordered list whose JSON array stays within ``budget`` bytes."""
+    """The longest beginning of a list in the order of ``order`` whose JSON array stays within ``budget`` bytes.
+
+    A row takes at least three bytes, so only so many rows come together, however long the list.
+    """
     columns = [c for c in ordered.columns if c != "recipe_order"]
+    ordered = ordered.orderBy(*order).limit(budget // 3)
     size = F.octet_length(F.to_json(F.struct(*columns)))
     so_far = F.sum(size + 1).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + 1
     return ordered.withColumn("__b", so_far).filter(F.col("__b") <= budget).drop("__b")

@@ -169,7 +169,7 @@ def catalog(spark: SparkSession, root: str) -> list[str]:
 
 def index_rows(episodes: DataFrame) -> DataFrame:
     """The narrow form of episodes."""
-    return episodes.select("id", "pr_number", "comment_id", "path", "link_confidence", "link_reason", "actionable")
+    return episodes.select("pos", "id", "pr_number", "comment_id", "path", "link_confidence", "link_reason", "actionable")
 
 
 def recipe_index(recipes: DataFrame) -> DataFrame:

@@ -44,7 +44,6 @@ def run_merges(
     stages: list[tuple[str, Callable[[SparkSession, str], None]]],
     dead_letters: str,
     payload: str = "body",
-    order: str | None = None,
 ) -> None:
     """Work through all events that are there, in batches one after the other.
 
