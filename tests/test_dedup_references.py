@@ -80,3 +80,29 @@ def test_reference_edges(spark):
     assert {r.src_key for r in references.broken_references(df, deltas).collect()} == {"2", "4", "5"}
     assert references.broken_references(df.limit(0), deltas).count() == 0
     assert references.broken_references(df, deltas.limit(0)).count() == 5
+
+
+def test_batches_give_what_one_table_gives(spark, tmp_path):
+    rnd = random.Random(9)
+    schema = "message_key string, rank_at long, row_key long, bucket string"
+    data = [("hot" if rnd.random() < 0.33 else None if rnd.random() < 0.05 else f"m{rnd.randint(0, 80)}", rnd.choice([None, rnd.randint(0, 9)]), k, rnd.choice(["2024-01", "2024-02", "none"])) for k in range(300)]
+    store = dedup.MessageStorage(spark, str(tmp_path / "messages"), slices=3, filter_bits=1 << 10)
+    seen: list = []
+    for batch in (data[:120], [], data[120:200], data[200:]):
+        got = {r.message_key: (r.keep_key, r.copies, r.kept_before) for r in store.add(spark.createDataFrame(batch, schema)).collect()}
+        before = best_of(seen)
+        seen += batch
+        want = {k: (best_of(seen)[k][1], sum(x[0] == k for x in seen), before.get(k, (0, None))[1]) for k in {x[0] for x in batch if x[0]} if sum(x[0] == k for x in seen) > 1}
+        assert got == want
+    assert {r.message_key: r.keep_key for r in dedup.winners(spark.createDataFrame(data, schema)).collect()} == {k: v[1] for k, v in best_of(data).items() if sum(x[0] == k for x in data) > 1}
+    (tmp_path / "messages" / "rows" / "9").mkdir()  # a batch that broke off
+    assert store.stored().agg(F.sum("n")).first()[0] == sum(x[0] is not None for x in data)
+
+
+def best_of(rows):
+    out: dict = {}
+    for key, at, row, _ in rows:
+        if key is not None:
+            mine = (float("inf") if at is None else -at, row)
+            out[key] = min(out.get(key, mine), mine)
+    return out
