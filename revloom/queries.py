@@ -10,6 +10,7 @@ QUERIES = catalog.QUERIES | {
     "p4_copies": dedup.copies_by_month,
     "p5_found": references.orphan_references,
     "p5_by_month": references.orphans_by_month,
+    "p5_current": references.orphans_now,
 }
 
 _P4_SURPLUS = r"""
@@ -54,4 +55,11 @@ ORACLE_SQL = oracles.SQL | oracles_link.SQL | {
       FROM a LEFT JOIN surplus s ON a.src_table = s.src_table AND a.delivery_id = s.delivery_id GROUP BY 1, 2""",
     "p5_found": f"WITH {_P5_BROKEN} SELECT DISTINCT src_table, src_key, ref_field FROM broken",
     "p5_by_month": f"WITH {_P5_BROKEN} SELECT src_table, ref_field, strftime(at_ts, '%Y-%m') AS \"month\", count(*) AS n_broken FROM broken GROUP BY 1, 2, 3",
+    "p5_current": r"""WITH pairs AS (SELECT CAST(id AS VARCHAR) AS dec_id, min(trim(node_id)) AS node FROM pull_review_comments WHERE id IS NOT NULL AND node_id IS NOT NULL GROUP BY 1),
+      tc AS (SELECT coalesce(p.node, k) AS k FROM (SELECT regexp_replace(id, '^\s+|\s+$', '', 'g') AS k, received_at, deleted_at FROM review_comments) LEFT JOIN pairs p ON p.dec_id = k WHERE received_at IS NOT NULL AND deleted_at IS NULL),
+      rc AS (SELECT coalesce(p.node, k) AS k FROM (SELECT regexp_replace(comment_id, '^\s+|\s+$', '', 'g') AS k FROM episodes) LEFT JOIN pairs p ON p.dec_id = k WHERE k <> ''),
+      r AS (SELECT 'comment_id' AS ref_field, k AS key FROM rc UNION ALL SELECT 'pr_number', repo || chr(0) || pr_number FROM episodes WHERE pr_number IS NOT NULL UNION ALL SELECT 'sha', lower(trim(sha)) FROM blob_index WHERE trim(sha) <> ''),
+      t AS (SELECT 'comment_id' AS ref_field, k AS key FROM tc UNION ALL SELECT 'pr_number', repo || chr(0) || pr_number FROM pull_requests WHERE received_at IS NOT NULL AND deleted_at IS NULL
+        UNION ALL SELECT 'sha', lower(trim(sha)) FROM contents WHERE fetched_at IS NOT NULL AND deleted_at IS NULL)
+      SELECT ref_field, key, count(*) AS refs FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.ref_field = r.ref_field AND t.key = r.key) GROUP BY 1, 2""",
 }

@@ -106,3 +106,19 @@ def best_of(rows):
             mine = (float("inf") if at is None else -at, row)
             out[key] = min(out.get(key, mine), mine)
     return out
+
+
+def test_counts_are_maintained(spark, tmp_path):
+    rnd = random.Random(3)
+    schema = "ref_field string, key string, delta int"
+    state = references.ReferenceCounts(spark, str(tmp_path / "counts"))
+    assert state.orphans().count() == 0
+    total: dict = {}
+    for _ in range(4):
+        refs, targets = ([("f", "hot" if rnd.random() < 0.33 else rnd.choice([None, *"abcdefgh"]), rnd.choice([1, 1, -1])) for _ in range(25)] for _ in range(2))
+        state.add(spark.createDataFrame(refs, schema), spark.createDataFrame(targets, schema))
+        for rows, at in ((refs, 0), (targets, 1)):
+            for _, k, d in rows:
+                if k is not None:
+                    total.setdefault(k, [0, 0])[at] += d
+        assert {(r.key, r.refs) for r in state.orphans().collect()} == {(k, r) for k, (r, t) in total.items() if r > 0 and t <= 0}
