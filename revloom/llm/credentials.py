@@ -448,7 +448,8 @@ def masked_texts(fields: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
                 texts.append(masked)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(n, pa.int64()), pa.array(texts, pa.string())], names=[*keys, "n_masked", "masked"])
 
-    joined = fields.select(*keys, "encoding", "text").distinct().join(pieces, keys)
+    # Only the few texts that hold something meet, so only these are compared for repeated rows.
+    joined = fields.select(*keys, "encoding", "text").join(pieces, keys).distinct()
     return joined.mapInArrow(run, _KEYS + ", n_masked bigint, masked string")
 
 

@@ -134,15 +134,17 @@ def is_minified_line(line: Column) -> Column:
 def code_shows_it(code: Column) -> Column:
     """Whether code bears a generator's notice, a minified line or a block of literal data."""
     lines = F.split(code, "\n")
-    # The body of a key or certificate is no data blob.
-    blob = (F.size(F.filter(lines, is_data_line)) >= DATA_LINES) & ~code.contains("-----BEGIN ")
+    # The body of a key or certificate is no data blob; what stands around it may be one.
+    free = F.when(code.contains("-----BEGIN "), F.regexp_replace(code, r"(?s)-----BEGIN [^-\n]+-----.*?(?:-----END [^-\n]+-----|\z)", "")).otherwise(code)
+    blob = F.size(F.filter(F.split(free, "\n"), is_data_line)) >= DATA_LINES
     return F.coalesce(code.rlike(NOTICE) | F.exists(lines, is_minified_line) | blob, F.lit(False))
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
+def fingerprints(rows: DataFrame, named: bool = True) -> DataFrame:
     """(fp, owner, file): the distinct winnowed fingerprints of each row's code, keyed with the file's name.
 
-    ``rows`` has repo, path and code. ``fp`` combines the hash of a k-gram with that of the file name.
+    ``rows`` has repo, path and code. ``fp`` combines the hash of a k-gram with that of the file name,
+    if it is ``named``.
     """
 
     def run(batches):
@@ -183,7 +185,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([row[:grams][whole].astype(np.uint64), low[whole]]), axis=1)
             r = pairs[0].astype(np.int64)
             cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "owner", "file")]
-            fp = (pairs[1].view(np.int64)) ^ cols[0][r]
+            fp = pairs[1].view(np.int64) ^ (cols[0][r] if named else 0)
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(cols[1][r]), pa.array(cols[2][r])], names=["fp", "owner", "file"])
 
     p = F.lower(clean_path(F.col("path")))
@@ -197,9 +199,9 @@ def file_key() -> Column:
     return F.xxhash64("repo", F.lower(clean_path(F.col("path"))))
 
 
-def vendored_files(rows: DataFrame, owners: int = OWNERS, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(file) of the files most of whose fingerprints recur under the same name among ``owners`` or more owners."""
-    prints = materialize(fingerprints(rows).distinct(), "prints")
+def vendored_files(rows: DataFrame, owners: int = OWNERS, share: float = SHARE, least: int = LEAST, named: bool = True) -> DataFrame:
+    """(file) of the files most of whose fingerprints recur among ``owners`` or more owners; under the same name, unless ``named`` is off."""
+    prints = materialize(fingerprints(rows, named).distinct(), "prints")
     wide = prints.select("fp", "owner").distinct().groupBy("fp").agg(F.count("*").alias("owners")).filter(F.col("owners") >= owners).select("fp")
     hits = prints.join(wide, "fp").groupBy("file").agg(F.count("*").alias("wide"))
     totals = prints.join(hits.select("file"), "file", "left_semi").groupBy("file").agg(F.count("*").alias("total"))

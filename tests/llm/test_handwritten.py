@@ -43,6 +43,7 @@ CODE = {
     "-" + MINI: True,
     BLOB: True,
     "b = (\n" + "\n".join('+  "' + "aB3/" * 18 + '"' for _ in range(5)): True,
+    "k = (\n-----BEGIN PRIVATE KEY-----\nMIIEaaaa\n-----END PRIVATE KEY-----\n)\nd = [\n" + "\n".join('"' + "aB3/" * 18 + '",' for _ in range(9)) + "\n]": True,
     "k = (\n-----BEGIN PRIVATE KEY-----\n" + "\n".join('"' + "aB3/" * 18 + '"' for _ in range(5)): False,
     "f(1, 2, 3, 4)\nf(1, 2, 3, 4)\nf(1, 2, 3, 4)\nf(1, 2, 3, 4)": False,
     "x = [" + "1, " * 200_000 + "]": False,
@@ -85,3 +86,10 @@ def test_reasons(spark):
     rows = [("t", "g", "a/b", "web/x.ts", "y"), ("t", "n", "c/d", "web/x.ts", "y"), ("t", "p", None, "yarn.lock", None), ("t", "c", None, None, "// @generated")]
     config = spark.createDataFrame([("a/b", (None, ["./web/**"]))], CONFIG)
     assert {(r.src_key, r.reason) for r in H.set_aside(spark.createDataFrame(rows, ROW), config).collect()} == {("g", "glob"), ("p", "path"), ("c", "code")}
+
+
+def test_renamed_copies_are_an_option(spark):
+    code = "\n".join(f"function part{i}(a, b) {{ return helper{i}(a + {i}, b * left{i}); }}" for i in range(12))
+    rows = spark.createDataFrame([(f"own{i}/r", f"src/name{i}.ts", code) for i in range(6)] + [("own9/r", "src/other.ts", code.replace("function", "export const"))], "repo string, path string, code string")
+    assert H.vendored_files(rows).count() == 0
+    assert H.vendored_files(rows, named=False).count() >= 6
