@@ -65,10 +65,10 @@ TOKENS = re.compile(
     r")"
 )
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-URL_USER = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,})@", re.I)
+URL_USER = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]*+:([^\s/@\"'<>]{3,})@", re.I)
 URL_QUERY = re.compile(r"[?&][\w.-]*(?:token|sig|signature|secret|api_?key|apikey|access_?key|password|auth|key)=([^\s&#\"'<>;,)`]{8,})", re.I)
 HEADER = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/_.~=-]{8,})")
-CURL_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)[ =]+[\"']?([^\s:\"']{1,64}):([^\s\"']{4,})")
+CURL_USER = re.compile(r"(?:(?<![\w-])-u|--user|--proxy-user)[ =]+[\"']?([^\s:\"']++):([^\s\"']{4,})")
 FLAG = re.compile(r"(?<![\w-])--(?:password|passwd|token|api-key|secret)[ =]+[\"']?([^\s\"']{6,})")
 _STRING = r"[rbfu]?(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')"
 STRING = re.compile(_STRING)
@@ -269,7 +269,7 @@ def credentials(text: str) -> list[tuple[str, str, list[str]]]:
                         v = _unescape("".join(pieces))
                         if bound_value(role, v, True):
                             add(role, v, [p for p in pieces if p])
-                    elif m.group(2) in ("=", ":") and LINE_START.search(text, max(0, start - 200), end):
+                    elif m.group(2) in ("=", ":") and LINE_START.match(text, max(0, text.rfind("\n", 0, start)), end):
                         u = BARE.match(text, m.end())
                         if u and bound_value(role, u.group(1), False):
                             add(role, u.group(1), [u.group(1)])

@@ -122,3 +122,9 @@ def test_no_length_is_too_long():
     assert [v for _, v, _ in C.credentials(f'run("{GHP}" "name1")')] == [GHP]
     for sign in ('"+"', '" "', '" . "', '" \\\n"', '"\n"'):
         assert [v for _, v, _ in C.credentials(f'x = "{filler}" + "gh{sign}{GHP[2:]}"')] == [GHP], sign
+
+
+def test_no_name_or_indent_is_too_long():
+    v = "aB3dE5fG7hJ9"
+    for text in (f"dsn = postgres://{'u' * 300}:{v}@db.example/x", f"curl -u {'u' * 300}:{v} https://x.example", " " * 900 + f"API_SECRET={v}\n"):
+        assert [x for _, x, _ in C.credentials(text)] == [v]
