@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from revloom import config as C, session
 from revloom.__main__ import parser, run
 from revloom.api import Engine
-from revloom.errors import AccessFailed, Forbidden, InvalidInput, NoData
+from revloom.errors import AccessFailed, Forbidden, InvalidInput, NoData, NotFound
 from revloom.plans import ingest
 from revloom.sources import rest, store
 from revloom.streaming import merges
@@ -240,3 +240,43 @@ def test_versions(spark, tmp_path):
         json.dump({"compile": {"minSupport": 3, "allowSingleHighConfidence": True}, "backfill": {"maxPrs": 7, "since": None}, "paths": 4}, f)
     got = s.config()
     assert (got.min_support, got.allow_single_high_confidence, got.max_prs, got.since, got.include) == (3, True, 7, None, ["**/*"])
+
+
+def put_contents(pages):
+    for ref, answer in (("sha1", contents("ctx\nconst result = client.get(url, options);\n", "B2")), ("c", contents("ctx\nconst result = fetch(url, options);\n", "b1"))):
+        at = os.path.join(pages, "contents", ref)
+        os.makedirs(at)
+        with open(os.path.join(at, "src%2Fapi%2Fx.ts.json"), "w") as f:
+            json.dump(answer, f)
+
+
+def test_events_run_the_stages_with_the_settings_of_a_repository(spark, pages, tmp_path_factory, tmp_path):
+    put_contents(pages)
+    root, came = str(tmp_path_factory.mktemp("data")), str(tmp_path / "in")
+    os.makedirs(os.path.join(root, "repos", "a", "b"))
+    with open(os.path.join(root, "repos", "a", "b", "config.json"), "w") as f:
+        json.dump({"compile": {"minSupport": 1}, "backfill": {"maxPrs": 150}}, f)
+    e = Engine(spark, root, "a/b", now=lambda: datetime(2025, 4, 1))
+    spark.createDataFrame([(body(),), (body(repository={"full_name": "x/y"}),)], "body string").write.parquet(came)
+    e.run_merge_events(spark.readStream.schema("body string").parquet(came), str(tmp_path / "mark"), str(tmp_path / "dead"), path=pages)
+    assert [(r.repo, r.stage) for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [("x/y", "ingest")]
+    assert e.store("a/b").read("recipe_index").count() == 1 and e.store("a/b").read("episode_index").count() == 1
+    one = e.recipes("a/b").first()
+    assert [r.id for r in e.episodes("a/b", [*one.episode_ids, "none"]).collect()] == one.episode_ids
+    diff = "--- a/src/api/z.ts\n+++ b/src/api/z.ts\n@@ -4,1 +4,2 @@\n ctx\n+const result = fetch(url, options);\n"
+    found = e.suggest("a/b", diff=diff, limit=0)
+    assert [(r.recipe_id, r.path) for r in found.collect()] == [(one.recipe_id, "src/api/z.ts")]
+    assert e.suggestion_warnings("a/b", found) == []
+    assert e.preview_suggestion("a/b", one.recipe_id, diff=diff).first().patch.startswith("--- a/src/api/z.ts")
+    nothing = e.suggest("a/b", code="pass", path="docs/readme.md")
+    e.store("a/b").set_cursors(link_at="2025-05-01T00:00:00")
+    assert e.suggestion_warnings("a/b", nothing) == ["⚠ STALE: Link watermark is newer than last compile; compile again.", "No recipe fits this code."]
+    with pytest.raises(NotFound):
+        e.preview_suggestion("a/b", "rcp_none", diff=diff)
+
+
+def test_the_cursor_moves_pull_request_by_pull_request(spark, pages, tmp_path_factory):
+    e, heard = Engine(spark, str(tmp_path_factory.mktemp("data"))), []
+    e.ingest("a/b", max_prs=5, on_ingested=heard.append, path=pages)
+    assert heard == sorted(heard, key=lambda n: (n % 28, n)) and len(heard) == 5
+    assert e.store("a/b").cursors()["ingest_number"] == heard[-1]
